@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import frames, measures
+from .plans.registry import QUERIES, SQL
+
+_LOADED = (frames, measures)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
