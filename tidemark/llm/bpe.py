@@ -2,8 +2,8 @@
 
 A long text is cut into chunks that overlap. Every chunk is pre-tokenised on its own, in parallel. The pattern looks
 back at nothing, so once two runs over the same characters share a boundary, all their later boundaries agree: the
-chunks are stitched at the first shared boundary of each overlap, and the pieces between stitches are encoded. Where an
-overlap holds no shared boundary (one huge run of letters or blanks), the two chunks are joined and pre-tokenised again.
+chunks are stitched at the first shared boundary of each overlap that doesn't follow white space (which the pattern
+joins differently at a text's end), and the pieces between stitches are encoded. Where an overlap holds no such boundary (one huge run of letters or blanks), the two chunks are joined and pre-tokenised again.
 Decoding concatenates the raw bytes of the ids.
 """
 
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK, OVERLAP, LONG = 32_768, 1_024, 131_072
+#: Code points before a chunk's end in which a boundary may still move; longer than the pattern's longest fixed word.
+MARGIN = 8
 _CACHE: dict = {}
+_KINDS = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 ENCODED = "doc_id long, ids array<int>"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -68,23 +71,27 @@ class Codec:
 def stitch(codec: Codec, text: str, starts: list[int], cuts: list[list[int]], chunk: int, overlap: int) -> list[int]:
     """Positions of the text at which chunks hand over. cuts: each chunk's boundaries, from its own start."""
     out: list[int] = []
-    begin, own = starts[0], cuts[0]
+    begin, own, last = starts[0], cuts[0], 0
     for s, later in zip(starts[1:], cuts[1:], strict=True):
-        reach = s + overlap
-        # A chunk's last pre-token may be cut off, so its end is no boundary unless the text ends there.
-        left = {begin + x for x in own[:-1]}
-        right = {s + x for x in later[:-1]}
-        shared = [x for x in sorted(left & right) if s < x <= reach]
+        left = _sure(begin, own, len(text))
+        shared = [x for x in sorted(left & _sure(s, later, len(text))) if max(s, last) < x <= s + overlap and not text[x - 1].isspace()]
         if shared:
-            out.append(shared[0])
+            last = shared[0]
+            out.append(last)
             begin, own = s, later
         else:  # one run fills the overlap: carry on from the earlier chunk's last sure boundary
-            resume = max(left, default=begin)
-            again = codec.boundaries(text[resume : s + chunk + overlap])
-            begin, own = resume, again
+            begin = max((x for x in left if x > last), default=last)
+            own = codec.boundaries(text[begin : s + chunk + overlap])
     return out
 
 
+def _sure(begin: int, cuts: list[int], end: int) -> set[int]:
+    """Boundaries that more text can't change: the last pre-token may be cut off, and so may the pattern's short words."""
+    if not cuts or begin + cuts[-1] == end:
+        return {begin + x for x in cuts}
+    return {begin + x for x in cuts[:-1] if x <= cuts[-1] - MARGIN}
+
+
 def codec_of(ranks: str, pattern: str) -> Codec:
     return common.worker_cache(_CACHE, (ranks, pattern), lambda: Codec(ranks, pattern))
 
@@ -95,13 +102,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _encoded(docs: DataFrame, ranks: str, pattern: str, finish, schema: str) -> DataFrame:
     """finish(codec, ids) makes the columns after doc_id."""
-    names = [f.strip().split()[0] for f in schema.split(", ")]
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    names, kinds = [n for n, _ in fields], [_KINDS[k] for _, k in fields]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks, pattern)
         for b in batches:
             rows = [finish(codec, codec.encode(t)) for t in common.texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, zip(*rows, strict=True))] if rows else [pa.array([], pa.int64())] * len(names), names=names)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True)]], names=names)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(ranks, pattern)

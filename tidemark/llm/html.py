@@ -33,6 +33,7 @@ FURNITURE = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=\s|/|$)", re.I)
+FRAMES = frozenset("table tbody thead tfoot tr ul ol dl menu dir hgroup".split())
 SPACE = re.compile(r"\s+")
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 DEEPEST = 400
@@ -182,6 +183,8 @@ def measure(node: Node, into: list[Node]) -> None:
                 points = (1 + x[0].count(",") + x[0].count("，") + min(len(x[0]) // 100, 3)) * (1 - x[1] / len(x[0]))
                 paragraph = n.tag in ("p", "pre", "blockquote", "li", "dd", "td", "figcaption") or n.tag in HEADS
                 above = n.up if paragraph and n.up else n
+                while above.up and above.tag in FRAMES:
+                    above = above.up
                 above.points += points
                 if above.up:
                     above.up.points += points / 2

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -121,8 +122,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
             yield f
 
     names = docs.columns
-    schema = out.schema.add("__clean", "string")
-    out = out.mapInPandas(clean, schema).withColumn("text", F.col("__clean"))
+    out = out.mapInPandas(clean, T.StructType([*out.schema.fields, T.StructField("__clean", T.StringType())])).withColumn("text", F.col("__clean"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return plain.where("not __hit").select(*names).unionByName(out.select(*names))
