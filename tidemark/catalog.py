@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import frames, measures
+from .plans import extras, frames, measures
 from .plans.registry import QUERIES, SQL
 
-_LOADED = (frames, measures)
+_LOADED = (extras, frames, measures)
 
 
 def queries() -> dict:
