@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = materialize(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "stars")
+        now = materialize(_small_star(materialize(_large_star(now), "large")), "stars")
         seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             break
@@ -70,9 +70,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    """Each node's larger neighbours point to its smallest neighbour (or itself)."""
+    """Each node's larger neighbours point to its smallest neighbour (or itself).
+
+    The minima are written before they are joined, so that the join has an exchange of its own, which splits at hubs.
+    """
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     out = e.select(F.col("v").alias("w"), F.col("u").alias("x")).join(least, "w")
     own = e.select(F.col("u").alias("w"), F.col("v").alias("y")).groupBy("w").agg(F.min("y").alias("m"))
     return out.select(F.col("x").alias("u"), F.col("m").alias("v")).union(own.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
@@ -80,7 +83,7 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and itself, point to the smallest of them."""
-    least = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+    least = materialize(e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
     moved = e.select(F.col("u").alias("w"), F.col("v").alias("x")).join(least, "w").select(F.col("x").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
 

@@ -203,9 +203,10 @@ def components(docs: DataFrame) -> DataFrame:
     classes = common.materialize(classes.select("n_shingles", "set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "classes")
     spread = classes.select("rep", F.explode("bands").alias("band"))
     hubs = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = common.materialize(hubs, "hubs")
     ties = spread.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     groups = common.materialize(common.connected_components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    sizes = common.materialize(groups.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
     wanted = groups.join(sizes, "grp").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "grp", "n"), "doc_id")
     members = common.materialize(_members(texts).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", _chunk(F.col("doc_id"), F.col("chunks"))), "members")
@@ -225,10 +226,13 @@ def _rest(members: DataFrame, links: DataFrame, large: DataFrame) -> DataFrame:
     """Links of large groups between members outside the group's largest part so far and all members."""
     big = members.join(large.select("grp"), "grp", "left_semi")
     parts = common.connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    parts = common.materialize(parts, "parts")
     known = common.materialize(big.select("grp", "doc_id").join(parts, "doc_id", "left").select("grp", "doc_id", F.coalesce("part", "doc_id").alias("part")), "parts")
     main = known.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    main = common.materialize(main, "main")
     rest = common.materialize(known.join(main, "grp").where("part <> main").select("grp", "doc_id"), "rest")
     counts = rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    counts = common.materialize(counts, "counts")
     others = members.join(counts, "grp")
     apart = others.join(rest, ["grp", "doc_id"], "left_semi").withColumn("row", _chunk(F.col("doc_id"), F.col("rows")))
     # Chunks of the rest are numbered from -1 down; block (ci, cj) holds the rest's chunk ci and the members' chunk cj.
