@@ -98,6 +98,7 @@ def findings(seen: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     each = ledger.where(F.col("rule").isin(names) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"])
     each = each.select("blob", F.explode("spans").alias("s"), order[F.col("rule")].alias("ord"), F.split("rule", "@")[0].alias("kind"))
     by_blob = each.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("s.start", "ord", "s.end", "kind"))).alias("found"))
+    by_blob = common.materialize(by_blob, "found")  # so that the join below has an exchange of its own and a hot blob splits
     return seen.select("path", "blob").join(by_blob, "blob", "left").select("path", "blob", F.coalesce("found", F.from_json(F.lit("[]"), "array<struct<start:long,ord:int,end:long,kind:string>>")).alias("found"))
 
 
