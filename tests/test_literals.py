@@ -436,6 +436,9 @@ def test_product_classifier(spark):
     m = product.ProductClassifier(product.ProductModel([product.Block.ramps("a", "a", [2, 8])])).fit(df, "y", 5)
     r = df.agg(F.avg("y"), F.avg(m.column()), F.min(m.column()), F.max(m.column())).first()
     assert abs(r[0] - r[1]) < 0.01 and 0 < r[2] < r[3] < 1
+    loss = lambda c: df.agg(F.avg(-(F.col("y") * F.log(c) + (1 - F.col("y")) * F.log(1 - c)))).first()[0]
+    joint = product.ProductClassifier(product.ProductModel([product.Block.ramps("a", "a", [2, 8])])).fit_joint(df, "y", 10)
+    assert loss(joint.column()) <= loss(m.column()) + 0.01
 
 
 def test_gam(spark):
@@ -504,6 +507,13 @@ def test_layered_model(spark):
     assert out.count() == df.count() and out.where("not _scorable").select("prediction", "_skip_reason").first()[0] is None
     s = out.where("_scorable").agg(F.avg(F.abs(F.col("spread") - F.col("structural"))), F.avg(F.abs(F.col("spread") - F.col("prediction")))).first()
     assert s[1] < s[0] < 8
+    cut = D(2023, 1, 20)
+    old_memory, old_daily = m.layers(df.where(F.col("day") < cut))
+    new_memory, new_daily = m.update(df.where(F.col("day") >= cut), old_memory, old_daily)
+    key = lambda d: sorted((r["bond"], r["day"], round(r["mvoc"], 9), round(r["ema"], 9), round(r["n"], 9)) for r in d.collect())
+    assert key(old_memory.unionByName(new_memory)) == key(memory)
+    line = lambda d: sorted((r["bucket"], r["day"], [round(v, 7) for v in r["curve"]]) for r in d.collect())
+    assert line(old_daily.unionByName(new_daily)) == line(daily)
     again = spread.LayeredModel.from_json(m.to_json())
     assert again.predict(df, memory, daily).exceptAll(out).isEmpty()
     base = at(spark, lambda x: curves.hinge(x, **{k: m.base[k] for k in ("low", "high", "level", "slope", "knots", "weights")}), np.linspace(80, 120, 20))

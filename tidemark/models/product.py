@@ -183,3 +183,36 @@ class ProductClassifier:
                 self.model._step(df, b, y, 1 / (p * (1 - p)))
         df.unpersist()
         return self
+
+    def fit_joint(self, df: DataFrame, y: str, rounds: int = 50, ridge: float = 1e-6) -> ProductClassifier:
+        """All blocks at once: quasi-Newton on the cross entropy, each value and gradient one distributed aggregate."""
+        from .fits import lbfgs
+
+        self.model.fit(df, y, None, rounds=3)
+        slots = [(b, v, len(c)) for b in self.model.blocks for v, c in self.model.coefficients[b.name].items()]
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        n = df.count()
+
+        def put(x: np.ndarray) -> None:
+            at = 0
+            for b, v, k in slots:
+                self.model.coefficients[b.name][v] = x[at : at + k]
+                at += k
+
+        def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+            put(x)
+            p, t = self.column(), F.col(y).cast("double")
+            raw = self.model.column()
+            inside = ((raw > self.eps) & (raw < 1 - self.eps)).cast("double")
+            slope = inside * (p - t) / (p * (1 - p))
+            sums = [F.sum(-(t * F.log(p) + (1 - t) * F.log(1 - p)))]
+            for b, v, _ in slots:
+                here = slope * self.model.column(without=b.name)
+                here = here if v is None else F.when(F.col(b.by) == F.lit(v), here).otherwise(F.lit(0.0))
+                sums += [F.sum(here * c) for c in b.basis()]
+            row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+            return row[0] / n + ridge * float(x @ x), np.array(row[1:], dtype=float) / n + 2 * ridge * x
+
+        put(lbfgs(value, np.concatenate([self.model.coefficients[b.name][v] for b, v, _ in slots]), rounds))
+        df.unpersist()
+        return self

@@ -93,6 +93,15 @@ class LayeredModel:
         left = memory.withColumn("left", F.col("residual") - F.col("adjustment"))
         return memory, smoothing.daily_curves(left, c.day, c.bucket, c.x, "left", self._grid(), c.width, c.blend)
 
+    def update(self, df: DataFrame, memory: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(memory rows, daily curves) of new days only, going on from earlier ones; the structure stays as fitted."""
+        c = self.config
+        rows = self._rows(df).where("_scorable").withColumn("residual", F.col(c.target) - self.structural())
+        state = smoothing.memory_state(memory, c.day, [c.key], [c.x])
+        new = smoothing.resume_memory(rows.select(c.key, c.day, c.x, c.bucket, "residual"), state, "residual", c.day, c.key, [c.x], c.alpha, c.shrink, c.life)
+        left = new.withColumn("left", F.col("residual") - F.col("adjustment"))
+        return new, smoothing.daily_curves(left, c.day, c.bucket, c.x, "left", self._grid(), c.width, c.blend, start=daily)
+
     def predict(self, df: DataFrame, memory: DataFrame, daily: DataFrame) -> DataFrame:
         """df with structural, adjustment, delta and prediction; rows that can't be scored keep their reason and nulls."""
         c = self.config

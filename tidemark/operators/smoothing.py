@@ -121,6 +121,29 @@ def keyed_memory(df: DataFrame, residual: str, day: str, keys: Names, tie: Names
     return series(df, keys, [day, *tie], {"adjustment": "double", "ema": "double", "n": "double"}, make)
 
 
+def memory_state(memory: DataFrame, day: str, keys: Names, tie: Names) -> DataFrame:
+    """(keys, ema, n, last_day) after each key's last row."""
+    last = F.max_by(F.struct("ema", "n"), F.struct(day, *tie))
+    return memory.groupBy(*keys).agg(last.alias("s"), F.max(day).alias("last_day")).select(*keys, "s.ema", "s.n", "last_day")
+
+
+def resume_memory(df: DataFrame, state: DataFrame, residual: str, day: str, key: str, tie: Names, alpha: float, shrink: float, life: float) -> DataFrame:
+    """keyed_memory of new rows that goes on from a state table; keys without state start anew."""
+    names = list(df.columns)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], "adjustment double, ema double, n double"])
+    number = lambda c: (c.astype("datetime64[ns]").astype("int64") // 86_400_000_000_000).to_numpy()
+
+    def run(new, old):
+        if not len(new):
+            return new.assign(adjustment=[], ema=[], n=[])
+        new = new.sort_values([day, *tie])
+        start = (float(old["ema"].iloc[0]), float(old["n"].iloc[0]), int(number(old["last_day"])[0])) if len(old) else (0.0, 0.0, None)
+        out = memory_fold(number(new[day]), new[residual].to_numpy(dtype=float), alpha, shrink, life, start)
+        return new[names].assign(adjustment=out[0], ema=out[1], n=out[2])
+
+    return df.groupBy(key).cogroup(state.select(key, "ema", "n", "last_day").groupBy(key)).applyInPandas(run, schema)
+
+
 def memory_fold(days, residuals, alpha: float, shrink: float, life: float, state=(0.0, 0.0, None)):
     """(adjustments, emas, ns) of a series from a state (ema, n, last day)."""
     ema, n, last = state
@@ -180,15 +203,20 @@ def falling(values: Sequence[float], weights: Sequence[float] | None = None) ->
     return np.concatenate([np.full(int(n), v) for v, _, n in stack]) if stack else np.empty(0)
 
 
-def daily_curves(df: DataFrame, day: str, bucket: str, x: str, y: str, grid: Sequence[float], width: float, blend: float = 1.0, base: Sequence[float] | None = None) -> DataFrame:
+def daily_curves(df: DataFrame, day: str, bucket: str, x: str, y: str, grid: Sequence[float], width: float, blend: float = 1.0, base: Sequence[float] | None = None, start: DataFrame | None = None) -> DataFrame:
     """(bucket, day, curve): kernel curves blended with the day before and, with a base, made so that base + curve falls.
-    Days of other buckets on which a bucket has no rows carry its curve on."""
+    Days of other buckets on which a bucket has no rows carry its curve on. start: curves of earlier days to go on from."""
     raw = kernel_curves(df, [bucket, day], x, y, grid, width).groupBy(bucket, day).agg(F.array_sort(F.collect_list(F.struct("grid_x", "delta"))).alias("points"))
     calendar = df.select(day).distinct().join(df.select(bucket).distinct())  # days times buckets, both small dimensions
     full = calendar.join(raw.select(bucket, day, F.transform("points", lambda p: p["delta"]).alias("raw")), [bucket, day], "left")
+    if start is None:
+        full = full.withColumn("held", F.lit(None).cast("array<double>"))
+    else:
+        full = full.join(start.groupBy(bucket).agg(F.max_by("curve", day).alias("held")), bucket, "left")
 
     def make(f):
-        out, last = [], np.zeros(len(grid))
+        held = f["held"].iloc[0]
+        out, last = [], np.zeros(len(grid)) if held is None else np.asarray(held, float)
         for raw in f["raw"]:
             if raw is not None:
                 now = blend * np.asarray(raw, float) + (1 - blend) * last
@@ -196,7 +224,7 @@ def daily_curves(df: DataFrame, day: str, bucket: str, x: str, y: str, grid: Seq
             out.append(last.tolist())
         return {"curve": out}
 
-    return series(full, [bucket], [day], {"curve": "array<double>"}, make).drop("raw")
+    return series(full, [bucket], [day], {"curve": "array<double>"}, make).drop("raw", "held")
 
 
 def curve_value(curve: Column | str, x: Column | str, low: float, high: float, n: int) -> Column:
