@@ -29,8 +29,10 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id, role and aria-label that name page furniture.
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners billboard breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent complementary contentinfo copyright disqus dropdown footer gdpr hidden masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup privacy promo promos promoted promotion recommend recommended recommendations related replies reply respond search share sharing sharebar shoutbox sidebar sidebars sitemap skip social sponsor sponsored sponsors subscribe subscription tags teaser toast toc toolbar tracking trending widget widgets".split()
+    "ad ads adv advert alert adverts advertisement advertising adsense banner banners billboard breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent complementary contentinfo copyright disqus dialog dropdown footer gdpr hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup privacy promo promos promoted promotion recommend recommended recommendations related replies reply respond search share sharing sharebar shoutbox sidebar sidebars signup sitemap skip social sponsor sponsored sponsors subscribe subscription tags teaser toast toc toolbar tracking trending widget widgets".split()
 )
+# Words beside which a header is that of the text itself.
+OWN_HEADER = frozenset("article content entry post section story text".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=\s|/|$)", re.I)
 FRAMES = frozenset("table tbody thead tfoot tr ul ol dl menu dir hgroup".split())
@@ -60,7 +62,7 @@ def furniture(tag: str, attrs: str) -> bool:
                 return True
         elif name == "aria-label" or tag not in ("html", "body", "article", "main"):
             words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", (m[2] or "").strip("\"'")).lower())
-            if any(w in FURNITURE for w in words):
+            if any(w in FURNITURE for w in words) or "header" in words and not OWN_HEADER.intersection(words):
                 return True
     return False
 
@@ -119,7 +121,9 @@ def parse(page: str) -> Node:
                     at = last.up
             if tag not in BLOCK and tag not in GONE:
                 # Furniture made of an inline element: skip to its own end tag.
-                pos = _end_of(page, tag, pos)
+                after = _end_of(page, tag, pos)
+                link = 0 if tag == "a" and after > pos else link
+                pos = after
                 continue
             if depth < DEEPEST:
                 node = Node(tag, at, gone)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brownlm, common, fingerprints, html, langid, neardup, packing, secrets, urls, vectors
+from . import bpe, brownlm, common, fingerprints, html, langid, neardup, packing, secrets, sql, urls, vectors
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -19,7 +19,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(common.read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    out = urls.judge(common.read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
