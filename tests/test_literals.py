@@ -140,7 +140,7 @@ def test_jump_literals():
 
 def test_jump_recovers_states(spark):
     sim = jump.simulate(spark, 2, 300, [[0.97, 0.03], [0.03, 0.97]], [(0.0, 0.2), (5.0, 0.2)], 3)
-    out = jump.jump_states(sim, ["path"], ["t"], ["value"], 2, 2.0, 3).join(sim.withColumnRenamed("state", "truth"), ["path", "t"])
+    out = jump.jump_states(sim, ["path"], ["t"], ["value"], 2, 2.0, 3).join(sim.select("path", "t", F.col("state").alias("truth")), ["path", "t"])
     for p in (0, 1):
         share = out.where(F.col("path") == p).agg(F.avg((F.col("state") == F.col("truth")).cast("double"))).first()[0]
         assert max(share, 1 - share) > 0.95
@@ -219,6 +219,16 @@ def test_as_of(spark):
     assert sorted(map(str, [tuple(r) for r in out.collect()])) == sorted(map(str, [(1, 5, 5, 50), (1, 10, 8, None), (2, 1, None, None), (None, 3, 1, 7)]))
 
 
+def test_as_of_slices(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rng = np.random.default_rng(6)
+    a = spark.createDataFrame([(int(k), t0 + dt.timedelta(minutes=int(m)), i) for i, (k, m) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 9000, 200), strict=True))] + [(None, t0, -1)], "k int, t timestamp, i int")
+    b = spark.createDataFrame([(int(k), t0 + dt.timedelta(minutes=int(m)), j) for j, (k, m) in enumerate(zip(rng.integers(0, 3, 40), rng.permutation(9000)[:40], strict=True))], "k int, u timestamp, v int")
+    plain = joins.as_of(a, b, ["k"], "t", "u", ["v"])
+    for unit in ("hour", "day"):
+        assert plain.exceptAll(joins.as_of(a, b, ["k"], "t", "u", ["v"], slices=unit)).isEmpty()
+
+
 def test_shift_without_overlap(spark):
     a, b = spark.createDataFrame([(1, 1.0)], "k int, a double"), spark.createDataFrame([(2, 1.0)], "k int, b double")
     with pytest.raises(Exception, match="no overlap"):
@@ -244,8 +254,8 @@ def test_bins(spark):
     assert binning.centers([-math.inf, 3, 6, math.inf]) == [3, 4.5, 6]
     x = [1, 2, 2, 3, 4, 7, 9, None]
     df = spark.createDataFrame([(i, v if v is None else float(v)) for i, v in enumerate(x)], "i int, x double")
-    q = pd.qcut(pd.Series(x, dtype=float), 3, labels=False, duplicates="drop")
-    edges = binning.quantile_edges(df, "x", 3)
+    q = pd.qcut(pd.Series(x, dtype=float), 4, labels=False, duplicates="drop")
+    edges = binning.quantile_edges(df, "x", 4)
     got = col(df.withColumn("b", binning.pick("x", edges, list(range(len(edges) - 1)), lowest=True)), "b", "i")
     assert [None if g is None else g for g in got] == [None if np.isnan(v) else int(v) for v in q]
     s = df.withColumn("y", F.lit(1.0)).withColumn("w", F.lit(0.0))
@@ -337,10 +347,15 @@ def test_curves(spark):
     xs = [0.0, 1.0, 2.0, 4.0]
     ys = [0.0, 1.0, 1.5, 1.6]
     got = at(spark, lambda x: curves.pchip(x, xs, ys), [-1, 0, 0.5, 1, 3, 4, 9, None])
-    assert got[0] == 0 and got[1] == 0 and got[3] == 1 and got[5] == got[6] == pytest.approx(1.6) and got[7] is None and 0 < got[2] < 1 and 1.5 < got[4] < 1.6
+    assert got[0] == 0 and got[1] == 0 and got[3] == pytest.approx(1) and got[5] == got[6] == pytest.approx(1.6) and got[7] is None and 0 < got[2] < 1 and 1.5 < got[4] < 1.6
     fine = at(spark, lambda x: curves.pchip(x, xs, ys), np.linspace(0, 4, 60))
     assert all(b >= a - 1e-12 for a, b in zip(fine, fine[1:], strict=False))
     assert at(spark, lambda x: curves.interpolate(x, [0, 2], [1, 3], "linear"), [-1, 1, 4]) == [0, 2, 5]
+    for grid in (np.linspace(0, 4, 30), np.linspace(0, 2, 30) ** 2):
+        many = at(spark, lambda x: curves.interpolate(x, grid.tolist(), np.sin(grid).tolist()), [-1, 0, 0.3, 2.2, 4, 5, None])
+        assert np.allclose(many[:-1], np.interp([-1, 0, 0.3, 2.2, 4, 5], grid, np.sin(grid))) and many[-1] is None
+        smooth = at(spark, lambda x: curves.pchip(x, grid.tolist(), np.sin(grid).tolist()), [0.3, 2.2, 3.9])
+        assert np.allclose(smooth, np.sin([0.3, 2.2, 3.9]), atol=5e-3)
     knots = [0.0] * 4 + [1.0] * 4
     assert np.allclose(at(spark, lambda x: curves.bspline(x, knots, [0, 1 / 3, 2 / 3, 1]), [0, 0.25, 0.8, 1, 2]), [0, 0.25, 0.8, 1, 1])
     basis = curves.bspline_basis("x", [0, 0, 0, 0, 0.5, 1, 1, 1, 1])
@@ -348,7 +363,7 @@ def test_curves(spark):
     r = curves.flat_ramps("x", [1, 3], bias=True, dummies=[0, -1])
     df = spark.createDataFrame([(0.0,), (2.0,), (5.0,), (None,)], "x double").select(*[c.alias(f"c{i}") for i, c in enumerate(r)])
     assert [tuple(x) for x in df.collect()] == [(1, 0, 0, 0, 1, 0), (1, 1, 1, 0, 0, 0), (1, 1, 2, 2, 0, 1), (1, None, None, None, None, None)]
-    assert at(spark, lambda x: curves.in_range(curves.sigmoid, x, 0, 1, low=0.0, high=1.0, slope=1.0, mid=0.0), [5]) == at(spark, lambda x: curves.sigmoid(x, 0.0, 1.0, 1.0, 0.0), [1])
+    assert at(spark, lambda x: curves.in_range(curves.sigmoid, x, (0, 1), low=0.0, high=1.0, slope=1.0, mid=0.0), [5]) == at(spark, lambda x: curves.sigmoid(x, 0.0, 1.0, 1.0, 0.0), [1])
     assert 0.9 < at(spark, lambda x: curves.bump(x, 0, 10, 0.5), [5])[0] <= 1 and at(spark, lambda x: curves.gate(x, 0, 1), [0]) == [0.5]
 
 

@@ -59,9 +59,9 @@ def stretched_exponential(x, level, scale, tau, beta) -> Column:
     return F.lit(level) + F.lit(scale) * F.exp(-F.pow(F.greatest(col(x), F.lit(0.0)) / F.lit(tau), F.lit(beta)))
 
 
-def in_range(form, x, low: float, high: float, extrapolate: bool = False, **parameters) -> Column:
-    """A form at x, which is held to the fitted range unless extrapolation is allowed."""
-    return form(col(x) if extrapolate else clip(x, low, high), **parameters)
+def in_range(form, x, span: tuple[float, float], extrapolate: bool = False, **parameters) -> Column:
+    """A form at x, which is held to the fitted span unless extrapolation is allowed."""
+    return form(col(x) if extrapolate else clip(x, *span), **parameters)
 
 
 def _segments(x: Column, knots: Sequence[float], pieces: Sequence[Column], below: Column, above: Column) -> Column:
@@ -71,6 +71,26 @@ def _segments(x: Column, knots: Sequence[float], pieces: Sequence[Column], below
     return F.when(x.isNotNull(), out.otherwise(above))
 
 
+#: Curves of more pieces than this look their coefficients up in constant arrays, so that generated code stays small.
+MANY = 8
+
+
+def _looked_up(x: Column, xs: Sequence[float], coefficients: Sequence[Sequence[float]], below: Column, above: Column) -> Column:
+    """Polynomials in x - xs[i] (constant term first) of the piece that holds x."""
+    knots = np.asarray(xs, float)
+    step = (knots[-1] - knots[0]) / (len(knots) - 1)
+    if np.allclose(np.diff(knots), step, rtol=1e-9, atol=0):
+        at = F.floor((x - F.lit(float(knots[0]))) / F.lit(float(step))).cast("int")
+    else:
+        at = F.size(F.filter(F.array(*[F.lit(float(k)) for k in knots]), lambda k: k < x)) - 1
+    at = F.least(F.greatest(at, F.lit(0)), F.lit(len(knots) - 2))
+    pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), at)
+    z, out = x - pick(knots), F.lit(0.0)
+    for row in reversed(list(zip(*coefficients, strict=True))):
+        out = out * z + pick(row)
+    return F.when(x < F.lit(float(knots[0])), below).when(x > F.lit(float(knots[-1])), above).when(x.isNotNull(), out)
+
+
 def interpolate(x, xs: Sequence[float], ys: Sequence[float], tails: str = "flat") -> Column:
     """Piecewise linear; tails flat or linear."""
     x, n = col(x).cast("double"), len(xs)
@@ -79,6 +99,8 @@ def interpolate(x, xs: Sequence[float], ys: Sequence[float], tails: str = "flat"
     flat = tails == "flat" or n < 2
     below = F.lit(float(ys[0])) if flat else pieces[0]
     above = F.lit(float(ys[-1])) if flat else pieces[-1]
+    if n > MANY:
+        return _looked_up(x, xs, list(zip(ys[:-1], slopes, strict=True)), below, above)
     return _segments(x, xs, pieces, below, above)
 
 
@@ -102,17 +124,18 @@ def pchip_slopes(xs: Sequence[float], ys: Sequence[float]) -> np.ndarray:
 
 def cubic(x, xs, ys, slopes, tails: str = "flat") -> Column:
     """Cubic Hermite pieces with given knot values and slopes."""
-    x, pieces = col(x).cast("double"), []
+    x, pieces, rows = col(x).cast("double"), [], []
     for i in range(len(xs) - 1):
         h = xs[i + 1] - xs[i]
         d = (ys[i + 1] - ys[i]) / h
         c2, c3 = (3 * d - 2 * slopes[i] - slopes[i + 1]) / h, (slopes[i] + slopes[i + 1] - 2 * d) / h**2
+        rows.append((ys[i], slopes[i], c2, c3))
         z = x - F.lit(float(xs[i]))
         pieces.append(F.lit(float(ys[i])) + z * (F.lit(float(slopes[i])) + z * (F.lit(float(c2)) + z * F.lit(float(c3)))))
     flat = tails == "flat"
     below = F.lit(float(ys[0])) + (F.lit(0.0) if flat else F.lit(float(slopes[0])) * (x - F.lit(float(xs[0]))))
     above = F.lit(float(ys[-1])) + (F.lit(0.0) if flat else F.lit(float(slopes[-1])) * (x - F.lit(float(xs[-1]))))
-    return _segments(x, xs, pieces, below, above)
+    return _looked_up(x, xs, rows, below, above) if len(rows) > MANY else _segments(x, xs, pieces, below, above)
 
 
 def pchip(x, xs, ys, tails: str = "flat") -> Column:

@@ -16,6 +16,8 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None)
     p = len(columns)
     w = F.lit(1.0) if weight is None else weight.cast("double")
     named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)], w.alias("w")).dropna()
+    if p > WIDE:
+        return _gram_by_batches(named, p)
     sums = [F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
     row = named.agg(F.count("*").alias("n"), *sums).first()
     out = np.zeros((p, p))
@@ -25,6 +27,25 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None)
     return out, row["n"]
 
 
+#: From so many columns on, each task multiplies matrices instead of the engine keeping p (p + 1) / 2 sums as one row.
+WIDE = 24
+
+
+def _gram_by_batches(named: DataFrame, p: int) -> tuple[np.ndarray, int]:
+    import pyarrow as pa
+
+    def rows(batches):
+        total, n = np.zeros((p, p)), 0
+        for b in batches:
+            x = np.column_stack([b.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(p)])
+            total += (x * b.column("w").to_numpy(zero_copy_only=False)[:, None]).T @ x
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p + 1)), pa.array(np.append(total.ravel(), n))], names=["k", "s"])
+
+    got = {r["k"]: r["s"] for r in named.mapInArrow(rows, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    return np.array([got.get(k, 0.0) for k in range(p * p)]).reshape(p, p), int(got.get(p * p, 0))
+
+
 @dataclass
 class Line:
     """A fitted linear model."""

@@ -47,8 +47,8 @@ def rolling_backtest(df: DataFrame, date: str, target: str, features: Sequence[s
         raise KeyError(f"missing columns: {missing}")
     cols = list(dict.fromkeys([key, date, target, *features]))
     slim = df.select(*cols)
-    train = rolling_windows(slim, date, n).select("run_date", *cols)
-    test = next_day_rows(slim, date, n or 1).select("run_date", *cols)
+    train = rolling_windows(slim, date, n).select("run_date", *cols).toDF("run_date", *cols)
+    test = next_day_rows(slim, date, n or 1).select("run_date", *cols).toDF("run_date", *cols)
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
     schema = f"run_date {kinds[date]}, `{date}` {kinds[date]}, `{key}` {kinds[key]}, prediction double, residual double"
 

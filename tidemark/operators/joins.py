@@ -50,19 +50,31 @@ def constant_shift(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: s
     return both.agg(shift.alias("shift"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], found: str = "as_of_time") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], found: str = "as_of_time", slices: str | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its keys at or before its time.
 
-    One union, one exchange on the keys and one running last: linear however many rows share a key and time.
+    One union, one exchange and one running last: linear however many rows share a key and time. With slices (a unit such
+    as day or hour) a key's rows are dealt out by time slice as well, so that no task holds all rows of a hot key; the
+    last state before each slice comes from a table of one row per key and slice.
     """
-    names = left.columns
+    names, part = left.columns, list(keys)
     state = F.struct(F.col(right_time).alias("t"), *values)
     kind = right.select(state.alias("s")).schema["s"].dataType
     a = left.select(*names, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__s"))
     b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), state.alias("__s"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__s", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*names, F.col("__last.t").alias(found), *[F.col(f"__last.{v}").alias(v) for v in values])
+    both = a.unionByName(b, allowMissingColumns=True)
+    if slices:
+        part = [*keys, "__slice"]
+        both = both.withColumn("__slice", F.date_trunc(slices, "__t"))
+    w = Window.partitionBy(*part).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__last", F.last("__s", ignorenulls=True).over(w)).where("__side = 1")
+    if slices:
+        ends = both.groupBy(*part).agg(F.max_by("__s", F.when(F.col("__side") == 0, F.struct("__t"))).alias("__end"))
+        before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("__held", F.last("__end", ignorenulls=True).over(before)).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(part)], "__held")
+        same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(part)]
+        out = out.join(ends, same, "left").withColumn("__last", F.coalesce("__last", "__held"))
+    return out.select(*names, F.col("__last.t").alias(found), *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
 def as_of_decayed(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day: str, right_day: str, value: str, life: float) -> DataFrame:

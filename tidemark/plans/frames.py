@@ -123,7 +123,7 @@ SELECT e.event_id, e.user_id, b.event_id AS last_purchase, round(b.value, 6) AS
 def asof_last_state(t):
     left = t.events.where("event_type = 'view'").select("event_id", "user_id", "ts")
     right = t.events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("last_purchase"), F.col("value").alias("last_value"))
-    out = joins.as_of(left, right, ["user_id"], "ts", "at", ["last_purchase", "last_value"])
+    out = joins.as_of(left, right, ["user_id"], "ts", "at", ["last_purchase", "last_value"], slices="week")
     return round_all(out.select("event_id", "user_id", "last_purchase", "last_value"))
 
 
