@@ -60,6 +60,7 @@ def texts(rng, n, base=80):
 @pytest.mark.parametrize("block", [neardup.BLOCK, 12])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "WHOLE", min(neardup.WHOLE, block))
     rows = texts(random.Random(9), 60)
     rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE two"), (1005, "one two three")]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, component_id int").repartition(5)
@@ -238,3 +239,9 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    df = common.materialize(spark.range(3), "x")
+    assert df.count() == 3 and common.shared_dir(spark) in df.inputFiles()[0]
+    assert common.clear_scratch(spark) >= 1 and common.clear_scratch(spark) == 0

@@ -107,7 +107,7 @@ def _encoded(docs: DataFrame, ranks: str, pattern: str, finish, schema: str) ->
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks, pattern)
-        for b in batches:
+        for b in common.in_slices(batches):
             rows = [finish(codec, codec.encode(t)) for t in common.texts_of(b.column("text"))]
             cols = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True)]], names=names)

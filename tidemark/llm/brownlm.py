@@ -49,7 +49,7 @@ def hot_words(docs: DataFrame, rows: int = SAMPLE_ROWS, hot: int = HOT) -> np.nd
     """Hashes of the sample's most frequent words, most frequent first."""
 
     def count(batches):
-        for b in batches:
+        for b in common.in_slices(batches):
             got = [np.unique(words_of_block(run)[0], return_counts=True) for _, run in blocks([t.encode() for t in common.texts_of(b.column("text"))])]
             if got:
                 h, c = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -91,7 +91,7 @@ def train(docs: DataFrame, hot_ranked: np.ndarray, clustered: int = CLUSTERED, c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, pairs, ends = np.zeros(len(hot) + 1, dtype=np.int64), np.zeros(side * side, dtype=np.int64), 0
-        for b in batches:
+        for b in common.in_slices(batches):
             for _, run in blocks([t.encode() for t in common.texts_of(b.column("text"))]):
                 words, upto = words_of_block(run)
                 at = _lookup(hot, words)
@@ -192,7 +192,7 @@ def score(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row0 = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in common.in_slices(batches):
             docs_, held = b.column("doc_id"), b.column("held_out")
             for first, run in blocks([t.encode() for t in common.texts_of(b.column("text"))]):
                 words, upto = words_of_block(run)

@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of each row's whole text, in hexadecimal. Null text is empty; nothing else is dropped."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.in_slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(t.encode()).hex() for t in common.texts_of(b.column("text"))], pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fingerprint string")
@@ -96,7 +96,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         pid, held = TaskContext.get().partitionId(), None
-        for b in batches:
+        for b in common.in_slices(batches):
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), common.texts_of(b.column("text")), strict=True):
                 fp = digest(text.encode())

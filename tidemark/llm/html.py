@@ -249,7 +249,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     urls and repeated rows stay; an empty table gives an empty table; other columns are ignored."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.in_slices(batches):
             got = [extract(h) for h in common.texts_of(b.column("html"))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

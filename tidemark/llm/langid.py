@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(k) for k in keep if k not in ("doc_id", "text")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.in_slices(batches):
             texts = common.texts_of(b.column("text"))
             langs, p = score(model, texts) if model and texts else (["und"] * len(texts), np.zeros(len(texts)))
             bad = [x == "und" or s < model.threshold for x, s in zip(langs, p, strict=True)] if model else [True] * len(texts)
@@ -178,7 +178,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.in_slices(batches):
             if b.num_rows:
                 langs, p = score(model, common.texts_of(b.column(at)))
                 b = b.filter(pa.array([x != "und" and s >= model.threshold for x, s in zip(langs, p, strict=True)], pa.bool_()))

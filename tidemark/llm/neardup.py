@@ -3,7 +3,7 @@
 1. Texts with equal shingle sets form a class; its smallest doc_id stands for it.
 2. Representatives get BANDS * ROWS min-hashes. Per band, every representative is tied to the smallest one with the same
    band (a pre-aggregated minimum and a join: as many ties as rows, however full a bucket is). Connected ties are groups.
-3. Groups are dealt out in blocks of at most BLOCK + BLOCK members. In a block, pairs that share a band are compared by
+3. Groups are dealt out in blocks of one or two chunks, of at most BLOCK members each. In a block, pairs that share a band are compared by
    batches of signatures; a pair is pruned once the posterior probability of similarity >= 0.75 falls under MISS, and
    survivors are verified on their full shingle sets. Pairs that are connected already need no verdict.
 4. A group larger than one block first meets its own first chunk; members that this does not join to the group's
@@ -30,7 +30,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH, MISS = 40, 1e-6
 NUM, DEN = 75, 100
-BLOCK = 1024
+#: A group of up to WHOLE members is one block; larger ones are cut into chunks of about 2 * sqrt(members), at most BLOCK.
+WHOLE, BLOCK = 256, 1024
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -130,7 +131,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """Size, digest and bands of each row's shingle set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.in_slices(batches):
             raw = [t.encode() for t in common.texts_of(b.column("text"))]
             n, a, c, keys = [], [], [], []
             for _, run in blocks(raw):
@@ -148,7 +149,7 @@ def _members(texts: DataFrame) -> DataFrame:
     """Signature and shingles of each representative; texts: grp, n, doc_id, text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.in_slices(batches):
             sigs, sets = [], []
             for _, run in blocks([t.encode() for t in common.texts_of(b.column("text"))]):
                 for s in shingles_of_block(run):
@@ -187,6 +188,10 @@ def _compare(dealt: DataFrame) -> DataFrame:
     return order.mapInPandas(rows, "a long, b long")
 
 
+def _chunk_size(n: Column) -> Column:
+    return F.when(n <= WHOLE, n).otherwise(F.least(F.lit(float(BLOCK)), F.greatest(F.lit(WHOLE / 2), 2 * F.sqrt(n))))
+
+
 def _chunk(doc: Column, count: Column) -> Column:
     return F.pmod(F.xxhash64(doc, F.lit("chunk")), count).cast("int")
 
@@ -209,11 +214,12 @@ def components(docs: DataFrame) -> DataFrame:
     sizes = common.materialize(groups.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
     wanted = groups.join(sizes, "grp").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "grp", "n"), "doc_id")
-    members = common.materialize(_members(texts).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", _chunk(F.col("doc_id"), F.col("chunks"))), "members")
+    members = _members(texts).withColumn("chunks", F.ceil(F.col("n") / _chunk_size(F.col("n"))).cast("int"))
+    members = common.materialize(members.withColumn("chunk", _chunk(F.col("doc_id"), F.col("chunks"))), "members")
     meets = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     first = members.select("*", F.explode(meets).alias("cj")).withColumn("ci", F.lit(0))
     links = common.materialize(_compare(first), "links")
-    large = sizes.where(F.col("n") > BLOCK)
+    large = sizes.where(F.col("n") > WHOLE)
     if not large.isEmpty():
         links = links.unionByName(_rest(members, links, large))
     copies = sets.where("n_shingles > 0 and doc_id is not null").join(classes.select("n_shingles", "set_a", "set_b", "rep"), ["n_shingles", "set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -231,7 +237,7 @@ def _rest(members: DataFrame, links: DataFrame, large: DataFrame) -> DataFrame:
     main = known.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     main = common.materialize(main, "main")
     rest = common.materialize(known.join(main, "grp").where("part <> main").select("grp", "doc_id"), "rest")
-    counts = rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    counts = rest.groupBy("grp").agg(F.count("*").alias("rest")).join(large, "grp").select("grp", F.ceil(F.col("rest") / _chunk_size(F.col("n"))).cast("int").alias("rows"))
     counts = common.materialize(counts, "counts")
     others = members.join(counts, "grp")
     apart = others.join(rest, ["grp", "doc_id"], "left_semi").withColumn("row", _chunk(F.col("doc_id"), F.col("rows")))

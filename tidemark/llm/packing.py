@@ -22,7 +22,7 @@ from . import common
 
 CAP = 2048
 #: Words whose ids a worker keeps; beyond that, words are encoded but not kept. Results don't depend on it.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 _END = b"\xff"
 _CACHE: dict = {}
 _RANK_BITS = 44
@@ -67,14 +67,13 @@ class WordEncoder:
         fresh: dict[str, bytes] = {}
         for i in range(0, len(new), 50_000):
             fresh |= self.learn(new[i : i + 50_000])
-        if len(kept) + len(fresh) > KEPT_WORDS:
-            room = max(0, KEPT_WORDS - len(kept))
-            both = kept | fresh
-            kept.update(list(fresh.items())[:room])
-        else:
+        if len(kept) + len(fresh) <= KEPT_WORDS:
             kept.update(fresh)
-            both = kept
-        return [self.plain(t) if words is None else b"".join([both[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+            fresh = {}
+        elif len(kept) < KEPT_WORDS:
+            kept.update(list(fresh.items())[: KEPT_WORDS - len(kept)])
+        find, rest = kept.get, fresh.get
+        return [self.plain(t) if words is None else b"".join([find(w) or rest(w, b"") for w in words]) for t, words in zip(texts, split, strict=True)]
 
 
 def _merger(vocab: dict[str, int]):
@@ -168,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, cap: int = CAP) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen, encoder = TaskContext.get().partitionId(), np.zeros(cap + 1, dtype=np.int64), encoder_of(tokenizer)
-        for b in batches:
+        for b in common.in_slices(batches):
             out: list[tuple] = []
             ids_of = common.texts_of(b.column("text"))
             for lo in range(0, len(ids_of), 500):
@@ -181,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str, cap: int = CAP) -> DataFrame:
                         seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: rows(b for b in it if b.num_rows), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, cap: int = CAP) -> DataFrame:
