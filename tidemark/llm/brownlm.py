@@ -66,9 +66,14 @@ def hot_words(docs: DataFrame, rows: int = SAMPLE_ROWS, hot: int = HOT) -> np.nd
         if total + m > hot:
             break
         least, total = k, total + m
-    got = seen.where(F.floor(F.log2("c") * 8) >= least).toPandas()  # at most hot rows
-    got = got.sort_values(["c", "h"], ascending=[False, True])
-    return got["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    h, c = _numbers(seen.where(F.floor(F.log2("c") * 8) >= least), "h", "c")  # at most hot rows
+    return h[np.lexsort((h, -c))].view(np.uint64)
+
+
+def _numbers(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Long columns of a bounded frame."""
+    table = df.select(*columns).toArrow()
+    return [table.column(c).to_numpy().astype(np.int64) for c in columns]
 
 
 def _lookup(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -103,8 +108,8 @@ def train(docs: DataFrame, hot_ranked: np.ndarray, clustered: int = CLUSTERED, c
         a, p = np.flatnonzero(single), np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, wide + p])), pa.array(np.concatenate([single[a], pairs[p]]))], names=["k", "c"])
 
-    got = _rows(docs).where("not held_out").select("text").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
-    keys, c = got["k"].to_numpy(dtype=np.int64), got["c"].to_numpy(dtype=np.int64)  # at most hot + side * side rows
+    got = _rows(docs).where("not held_out").select("text").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    keys, c = _numbers(got, "k", "c")  # at most hot + side * side rows
     counts, bigrams = np.zeros(len(hot) + 1, dtype=np.int64), np.zeros((side, side))
     is_pair = keys >= wide
     counts[keys[~is_pair]] = c[~is_pair]
