@@ -68,11 +68,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, buckets, shares): at most rows labelled rows with a letter, evenly by language, by a hash of the id."""
+    """(lang, buckets, shares as raw bytes): at most rows labelled rows with a letter, evenly by language, by a hash of the id."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = known.groupBy("lang").count().collect()  # one row a language
     if not counts:
-        return known.select("lang", F.array().cast("array<int>").alias("buckets"), F.array().cast("array<float>").alias("shares"))
+        return known.select("lang", F.lit(b"").alias("buckets"), F.lit(b"").alias("shares"))
     each = max(1, rows // len(counts))
     share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 1.2 * each / r[1])))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003))
@@ -81,15 +81,15 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [features(t) for t in common.texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tolist() for x, _ in f], pa.list_(pa.int32())), pa.array([y.tolist() for _, y in f], pa.list_(pa.float32()))], names=["lang", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tobytes() for x, _ in f], pa.binary()), pa.array([y.tobytes() for _, y in f], pa.binary())], names=["lang", "buckets", "shares"])
 
-    return few.mapInArrow(grams, "lang string, buckets array<int>, shares array<float>")
+    return few.mapInArrow(grams, "lang string, buckets binary, shares binary")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 6, rate: float = 0.2, lost: float = 0.002, seed: int = 7) -> Model | None:
     """A model from rows of docs with a language; None if there is none. lost: share of right held-back rows rejected."""
     got = sample(docs, rows).collect()  # bounded by rows
-    got = [(r["lang"], np.asarray(r["buckets"], np.int64), np.asarray(r["shares"], np.float32)) for r in got if r["buckets"]]
+    got = [(r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got if r["buckets"]]
     got.sort(key=lambda x: (x[0], len(x[1]), x[1][:8].tolist()))
     if not got:
         return None
