@@ -122,6 +122,16 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_vectors_of_single_precision(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 12))
+    x = np.concatenate([base, base + rng.normal(scale=0.03, size=base.shape), base + rng.normal(scale=0.05, size=base.shape)]).astype(np.float32)
+    rows = [(i, [float(v) for v in e], i % 2) for i, e in enumerate(x)]
+    links, comp = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == {i: (links[i], comp[i]) for i in comp}
+
+
 PAGES = [
     (1, "http://A.Example.NET/en/x?q#f", '<a href="http://bad.example.com/de/1">x</a> <a href=\'//c.org/\'>'), (2, "http://bad.example.com/de/2", '<a href="https://bad.example.com/x">'), (3, "http://bad.example.com/en/", None),
     (4, "https://c.org", '<a HREF=http://D.org/fr/>'), (5, "https://d.org/fr/a", ""), (6, "https://friend.org/x", '<a href="http://bad.example.com/1"><a href="http://bad.example.com/2">'), (7, None, None), (8, "nothing", "<a href='http://d.org'>"), (9, "net", ""), (10, "x://net/", ""), (10, "x://net", ""), (11, "http://d.org/en", ""),

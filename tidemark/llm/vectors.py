@@ -73,8 +73,9 @@ def clean(vectors: DataFrame) -> DataFrame:
     return plain.select("vec_id", "label", F.when(ok, zero).alias("embedding"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
-def links(reps: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
-    """Distinct pairs (a, b) of representatives found by the passes; reps: rep, label, embedding."""
+def links(reps: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST, kind: str = "<f8") -> DataFrame:
+    """Distinct pairs (a, b) of representatives found by the passes; reps: rep, label, embedding; kind: the numpy type
+    that holds its numbers exactly, in which vectors travel. Cosines are in double precision whatever the kind."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -82,7 +83,7 @@ def links(reps: DataFrame, passes: int = PASSES, window: int = WINDOW, least: fl
                 for lo in range(0, len(part), 512):
                     p = part.iloc[lo : lo + 512]
                     x = np.stack(p["embedding"].tolist())
-                    k, raw = keys(x, passes), [v.tobytes() for v in x]
+                    k, raw = keys(x, passes), [v.tobytes() for v in x.astype(kind)]
                     yield pd.concat([pd.DataFrame({"pass": i, "label": p["label"], "key": k[i], "rep": p["rep"], "embedding": raw}) for i in range(passes)])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,14 +99,14 @@ def links(reps: DataFrame, passes: int = PASSES, window: int = WINDOW, least: fl
                 yield _edge(f.head(window), pid, "head")
                 first = False
             both = f if tail is None else pd.concat([tail, f])
-            yield _pairs(both, window, least, 0 if tail is None else len(tail))
-            tail = both.tail(max(window, min(HELD, len(both)) if _open(both, window, least) else window))
+            yield _pairs(both, window, least, 0 if tail is None else len(tail), kind)
+            tail = both.tail(max(window, min(HELD, len(both)) if _open(both, window, least, kind) else window))
         if tail is not None:
             yield _edge(tail.tail(window), pid, "tail")
 
     def across(key, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["pass", "label", "key", "rep"])
-        return _pairs(f, window, least, 0)[["a", "b"]]
+        return _pairs(f, window, least, 0, kind)[["a", "b"]]
 
     order = reps.select("label", "rep", "embedding").mapInPandas(spread, ROW).repartitionByRange("pass", "label", "key").sortWithinPartitions("pass", "label", "key", "rep")
     done = common.materialize(order.mapInPandas(compare, f"a long, b long, pid int, side string, {ROW}"), "pairs")
@@ -121,17 +122,17 @@ _COLUMNS = ["a", "b", "pid", "side", "pass", "label", "key", "rep", "embedding"]
 _KINDS = {"a": "Int64", "b": "Int64", "pid": "Int32", "side": object, "pass": "Int32", "label": "Int64", "key": "Int64", "rep": "Int64", "embedding": object}
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+def _matrix(raw: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
 
 
-def _pairs(f: pd.DataFrame, window: int, least: float, begin: int) -> pd.DataFrame:
+def _pairs(f: pd.DataFrame, window: int, least: float, begin: int, kind: str) -> pd.DataFrame:
     sizes = f["embedding"].map(len).to_numpy()
     group = pd.factorize(pd.MultiIndex.from_arrays([f["pass"], f["label"]]))[0]
     ids, raw, out = f["rep"].to_numpy(dtype=np.int64), f["embedding"].to_numpy(), [np.empty((0, 2), dtype=np.int64)]
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        p = at[window_links(group[at], _matrix(raw[at].tolist()), window, least, int((at < begin).sum()))]
+        p = at[window_links(group[at], _matrix(raw[at].tolist(), kind), window, least, int((at < begin).sum()))]
         out.append(ids[p].reshape(-1, 2))
     p = np.concatenate(out)
     p = np.unique(np.sort(p[p[:, 0] != p[:, 1]], axis=1), axis=0)
@@ -144,12 +145,12 @@ def _edge(f: pd.DataFrame, pid: int, side: str) -> pd.DataFrame:
     return f.assign(a=pd.Series([None] * len(f), dtype="Int64", index=f.index), b=pd.Series([None] * len(f), dtype="Int64", index=f.index))[_COLUMNS]
 
 
-def _open(f: pd.DataFrame, window: int, least: float) -> bool:
+def _open(f: pd.DataFrame, window: int, least: float, kind: str) -> bool:
     """Whether links fill the last row's window, so that more rows before it may still be wanted."""
     t = f.tail(window)
     if len(t) < window or t["embedding"].map(len).nunique() > 1:
         return False
-    return len(window_links(np.zeros(window, dtype=int), _matrix(t["embedding"].tolist()), window, least)) > window
+    return len(window_links(np.zeros(window, dtype=int), _matrix(t["embedding"].tolist(), kind), window, least)) > window
 
 
 def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
@@ -163,7 +164,8 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WIND
     rows = common.materialize(clean(vectors).withColumn("cls", F.when(F.col("ok"), F.struct(F.xxhash64("label", "embedding"), F.hash("embedding", "label")))), "vectors")
     classes = common.materialize(rows.where("ok").groupBy("label", "cls").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size")), "classes")
     reps = rows.where("ok").join(classes.select("label", "cls", "rep"), ["label", "cls"]).where("vec_id = rep").groupBy("rep", "label").agg(F.first("embedding").alias("embedding"))
-    found = common.materialize(links(reps, passes, window, least), "links")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    found = common.materialize(links(reps, passes, window, least, "<f4" if single else "<f8"), "links")
     both = found.union(found.select("b", "a")).toDF("rep", "other")
     more = both.join(classes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("more"))
     comp = common.connected_components(found).select(F.col("node").alias("rep"), "component")
