@@ -82,20 +82,46 @@ def _ewma(x, com: float):
 
 
 def series(df: DataFrame, keys: Names, order: Names, outputs: dict[str, str], make) -> DataFrame:
-    """make(series in order) -> columns, by grouped Arrow batches: for recurrences that no window expresses."""
+    """make(series in order) -> columns, for recurrences that no window expresses.
+
+    Rows are dealt out by key and sorted by the engine; a task walks its sorted Arrow batches, cuts them where the key
+    changes and holds one unfinished series at a time. Null keys are one series.
+    """
     import numpy as np
+    import pandas as pd
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *[f"`{n}` {t}" for n, t in outputs.items()]])
 
-    def run(f):
-        f = f.sort_values(list(order))
-        for n, v in make(f).items():
-            f[n] = v
-            if outputs[n] == "double":
-                f[n] = f[n].astype(object).where(~np.isnan(np.asarray(v, dtype=float)), None)
+    def finished(f, starts, ends):
+        parts = [make(f.iloc[a:b]) for a, b in zip(starts, ends, strict=True)]
+        f = f.iloc[: ends[-1]].copy()
+        for n, kind in outputs.items():
+            if kind == "double":
+                v = np.concatenate([np.asarray(p[n], dtype=float) for p in parts])
+                f[n] = pd.array(v, dtype="Float64") if not np.isnan(v).any() else pd.arrays.FloatingArray(np.nan_to_num(v), np.isnan(v))
+            else:
+                f[n] = [x for p in parts for x in p[n]]
         return f
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def run(frames):
+        held = None
+        for f in frames:
+            if not len(f):
+                continue
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            new = np.zeros(len(f), dtype=bool)
+            for k in keys:
+                before = f[k].shift()
+                new |= ((f[k] != before) & ~(f[k].isna() & before.isna())).to_numpy()
+            new[0] = True
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield finished(f, starts[:-1], starts[1:])
+            held = f.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield finished(held, [0], [len(held)])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def ex_ante_volatility(df: DataFrame, returns: str, keys: Names, order: Names, com: float = 60, factor: float = 261, out: str = "volatility") -> DataFrame:
