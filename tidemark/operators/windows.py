@@ -70,15 +70,13 @@ def ewma(df: DataFrame, value: str, keys: Names, order: Names, com: float, out:
 def _ewma(x, com: float):
     import numpy as np
 
-    keep = 1 - 1 / (1 + com)
-    out, num, den = np.full(len(x), np.nan), 0.0, 0.0
-    for i, v in enumerate(x):
+    keep, num, den, out = 1 - 1 / (1 + com), 0.0, 0.0, []
+    for v in np.asarray(x, dtype=float).tolist():
         num, den = num * keep, den * keep
         if v == v:
             num, den = num + v, den + 1
-        if den > 0:
-            out[i] = num / den
-    return out
+        out.append(num / den if den > 0 else np.nan)
+    return np.array(out)
 
 
 def series(df: DataFrame, keys: Names, order: Names, outputs: dict[str, str], make) -> DataFrame:
