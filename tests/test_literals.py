@@ -263,6 +263,16 @@ def test_bins(spark):
     assert col(df.where("x in (2, 3)").withColumn("r", nulls.round_step(F.col("x") / 4, 1.0)), "r", "i") == [0, 0, 1]
 
 
+def test_bracketed_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(binning, "FEW", 10)
+    rng = np.random.default_rng(7)
+    for values in (rng.normal(size=5000), np.repeat([1.0, 2.0], [4000, 10]), rng.integers(0, 9, 999).astype(float), np.full(50, 3.0)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        p = [0, 0.01, 0.1, 1 / 3, 0.5, 0.9, 0.999, 1]
+        assert np.allclose(binning.quantiles(df, "x", p), np.quantile(values, p), rtol=1e-12, atol=1e-12)
+    assert binning.quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == []
+
+
 def test_null_rules(spark):
     df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "i int, x double")
     c = nulls.clean_frame(df)

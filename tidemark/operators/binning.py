@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls
@@ -43,10 +43,47 @@ def pick(c: Column | str, edges: Sequence[float], values: Sequence, right: bool
     return out if out is not None else F.lit(None)
 
 
-def quantile_edges(df: DataFrame, column: str, n: int, facet: Sequence[str] = ()) -> list[float]:
+#: Up to so many rows the engine's own exact percentile is used, which holds all distinct values in one place.
+FEW = 100_000
+_ACCURACY = 100_000
+
+
+def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
+    """Exact linear quantiles of the present values; none without values.
+
+    Large inputs are bracketed first: approximate quantiles a little under and over each probability, one pass that counts
+    what lies below each bracket, and the ranks wanted among the few values inside, counted by value.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n = x.count()
+    if not n:
+        return []
+    if n <= FEW:
+        return list(x.agg(F.percentile("x", F.array(*map(F.lit, probabilities)))).first()[0])
+    slack = 3 / _ACCURACY + 3 / n  # both ranks around a probability lie inside
+    wide = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
+    cuts = x.agg(F.percentile_approx("x", F.array(*map(F.lit, wide)), _ACCURACY), F.min("x"), F.max("x")).first()
+    low = [cuts[1] if p <= slack else cuts[0][2 * i] for i, p in enumerate(probabilities)]
+    high = [cuts[2] if p >= 1 - slack else cuts[0][2 * i + 1] for i, p in enumerate(probabilities)]
+    below = x.agg(*[F.count(F.when(F.col("x") < F.lit(v), 1)).alias(f"b{i}") for i, v in enumerate(low)]).first()
+    inside = F.array(*[F.when(F.col("x").between(a, b), F.lit(i)) for i, (a, b) in enumerate(zip(low, high, strict=True))])
+    counts = x.select("x", F.explode(F.filter(inside, lambda v: v.isNotNull())).alias("i")).groupBy("i", "x").agg(F.count("*").alias("c"))
+    running = Window.partitionBy("i").orderBy("x")
+    start = F.get(F.array(*[F.lit(v) for v in below]), F.col("i"))
+    ranked = counts.withColumn("upto", start + F.sum("c").over(running)).withColumn("from", F.col("upto") - F.col("c"))
+    place = F.get(F.array(*[F.lit(p * (n - 1)) for p in probabilities]), F.col("i"))
+    wanted = ranked.where(((F.col("from") <= F.floor(place)) & (F.floor(place) < F.col("upto"))) | ((F.col("from") <= F.ceil(place)) & (F.ceil(place) < F.col("upto"))))
+    ends = {r["i"]: (r["a"], r["b"]) for r in wanted.groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}  # two values a probability
+    out = []
+    for i, p in enumerate(probabilities):
+        a, b = ends[i]
+        out.append(a + (b - a) * (p * (n - 1) - int(p * (n - 1))))
+    return out
+
+
+def quantile_edges(df: DataFrame, column: str, n: int) -> list[float]:
     """Distinct exact linear quantiles at 0, 1/n, ..., 1."""
-    row = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    return sorted(set(quantiles(df, column, [i / n for i in range(n + 1)])))
 
 
 def bin_column(df: DataFrame, column: str, strategy="step", n_bins: int = 10, step: float = 1.0, edges: Sequence[float] | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import nulls
+from .binning import quantiles
 
 _COMPARE = {
     "==": lambda c, v: c == v,
@@ -114,12 +115,14 @@ class Clip:
 
 
 def learn_clips(df: DataFrame, rules: Sequence[Clip]) -> list[Clip]:
-    """Rules with their quantiles replaced by bounds, from one aggregate."""
+    """Rules with their quantiles replaced by bounds."""
     wanted = [(i, side, q) for i, r in enumerate(rules) for side, q in (("lower", r.lower_q), ("upper", r.upper_q)) if q is not None]
     if not wanted:
         return list(rules)
-    row = df.agg(*[F.percentile(rules[i].column, F.lit(q)).alias(f"{side}{i}") for i, side, q in wanted]).first()
-    got = {(i, side): row[f"{side}{i}"] for i, side, _ in wanted}
+    got: dict = {}
+    for c in dict.fromkeys(rules[i].column for i, _, _ in wanted):
+        mine = [(i, side, q) for i, side, q in wanted if rules[i].column == c]
+        got |= {(i, side): v for (i, side, _), v in zip(mine, quantiles(df, c, [q for _, _, q in mine]), strict=False)}
     return [Clip(r.column, got.get((i, "lower"), r.lower), got.get((i, "upper"), r.upper), None, None, r.output) for i, r in enumerate(rules)]
 
 
