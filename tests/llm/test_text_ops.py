@@ -309,3 +309,19 @@ def test_shingles():
 
 def test_registered_queries(spark):
     assert list(queries.queries()) == [f"op{i}_{n}" for i, n in enumerate(("packing", "secrets", "urls", "html", "near_dedup", "vectors", "bpe", "language", "lm", "fingerprints"), 1)]
+
+
+def test_lm_every_training_word_has_a_class(spark, monkeypatch):
+    """Words outside the clustered core get the class of the words whose neighbours they share."""
+    monkeypatch.setattr(brownlm.train, "__defaults__", (8, 4))
+    monkeypatch.setattr(brownlm, "GROWTH", 0)
+    rng = random.Random(5)
+    texts = [" ".join(x for _ in range(30) for x in (f"a{rng.randrange(4)}", f"b{rng.randrange(4)}")) for _ in range(40)]
+    texts += [f"a1 rareb{i} a2 b1 rarea{i} b2" for i in range(20)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    m = brownlm.train(df, brownlm.hot_words(df, 20_000, 10))
+    cls = dict(zip(m.words.tolist(), m.cls.tolist(), strict=True)) | {r["h"] % (1 << 64): r["cls"] for r in m.placed.collect()}
+    of = lambda w: cls[int(texthash.words_of_block([w.encode()])[0][0])]
+    assert len(cls) == 48 and max(cls.values()) < 4 and m.kinds.sum() == 48
+    assert not {of(f"rarea{i}") for i in range(20)} & {of(f"rareb{i}") for i in range(20)}
+    assert {of(f"rarea{i}") for i in range(20)} <= {of(f"a{i}") for i in range(4)}
