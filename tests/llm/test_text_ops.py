@@ -325,3 +325,12 @@ def test_lm_every_training_word_has_a_class(spark, monkeypatch):
     assert len(cls) == 48 and max(cls.values()) < 4 and m.kinds.sum() == 48
     assert not {of(f"rarea{i}") for i in range(20)} & {of(f"rareb{i}") for i in range(20)}
     assert {of(f"rarea{i}") for i in range(20)} <= {of(f"a{i}") for i in range(4)}
+
+
+def test_lm_core_is_picked_by_exact_counts(spark):
+    """A word that fills one long text belongs to the core, whatever rows are sampled."""
+    rows = [(i, f"w{i} x{i}") for i in range(3000)] + [(None, "giant " * 5000 + "huge " * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = brownlm.train(df, brownlm.hot_words(df, 10), 2)
+    h = [int(texthash.words_of_block([w])[0][0]) for w in (b"giant", b"huge")]
+    assert set(h) <= set(m.words.tolist()) and not {r["h"] % (1 << 64) for r in m.placed.collect()} & set(h)
