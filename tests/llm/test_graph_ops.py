@@ -255,3 +255,13 @@ def test_scratch_tables_can_be_cleared(spark):
     df = common.materialize(spark.range(3), "x")
     assert df.count() == 3 and common.shared_dir(spark) in df.inputFiles()[0]
     assert common.clear_scratch(spark) >= 1 and common.clear_scratch(spark) == 0
+
+
+@pytest.mark.parametrize("linkers", [2, 20, 2000])
+def test_url_verdict_does_not_depend_on_in_links(spark, linkers):
+    rows = [(0, "http://bad.example.com/de/", None)]
+    rows += [(i, f"http://fan{i}.org/", "<a href='http://bad.example.com/x'>") for i in range(1, linkers + 1)]
+    rows += [(10_000 + i, f"http://far{i}.org/", "<a href='http://unseen.net/x'>") for i in range(linkers)]
+    rows += [(20_000, "http://fair.org/", "<a href='http://bad.example.com/'>" + "<a href='http://good.com/'>" * 9)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {(r["verdict"], r["page_id"] == 20_000) for r in got.collect()} == {("block", False), ("allow", True)}

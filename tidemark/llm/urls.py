@@ -2,8 +2,9 @@
 
 Rules judge the urls that they fit. For all others, hosts are judged: trust starts at hosts with allowed pages and flows
 along links; distrust starts at hosts with blocked pages and flows against them (who links to a bad host is suspect).
-Both are personalised PageRanks over host edges, with restarts at the seeds. A host is blocked where its distrust
-reaches THRESHOLD of a full seed's own mass and exceeds its trust.
+Both are personalised PageRanks over host edges, with restarts at the seeds. Their masses shrink as a host gets more
+links, so a host is judged by its suspicion instead: the blocked share of its pages or, if larger, of its links. It is
+blocked where that reaches THRESHOLD and exceeds its trust as a part of a full seed's own mass.
 """
 
 from __future__ import annotations
@@ -70,6 +71,26 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     return now
 
 
+def suspicion(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(host, suspicion): the larger of the seed and of the average over the host's links and, as one more link, its seed.
+
+    A link counts what its target hands on: its seed or, if larger, its own suspicion times damping. Each host divides by
+    its own links only, so that neither the links into a blocked host nor the size of the graph change the figure.
+    """
+    total = edges.groupBy("src").agg(F.sum("n").alias("total"))
+    share = common.materialize(edges.join(total, "src").select("src", "dst", (F.col("n") / (1 + F.col("total"))).alias("w")), "links")
+    start = seeds.join(total.withColumnRenamed("src", "host"), "host", "left").select("host", "seed", (F.col("seed") / (1 + F.coalesce("total", F.lit(0)))).alias("got"))
+    start = common.materialize(start, "start")
+    now = start
+    for k in range(rounds):
+        given = now.select("host", F.greatest("seed", F.col("got") * damping).alias("given")).where("given > 0")
+        flow = share.join(given, F.col("dst") == F.col("host")).groupBy("src").agg(F.sum(F.col("given") * F.col("w")).alias("got"))
+        now = start.unionByName(flow.select(F.col("src").alias("host"), F.lit(0.0).alias("seed"), "got")).groupBy("host").agg(F.max("seed").alias("seed"), F.sum("got").alias("got"))
+        if k % 5 == 4:
+            now = common.materialize(now, f"suspicion{k}")
+    return now.select("host", F.greatest("seed", "got").alias("suspicion"))
+
+
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), one row per input row.
 
@@ -80,14 +101,19 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     share = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     hosts = common.materialize(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")), "hosts")
     edges = common.materialize(host_edges(pages), "edges")
-    scores = hosts.select("host", (F.col("allow") * (1 - damping)).alias("trust"), (F.col("block") * (1 - damping)).alias("distrust"))
+    scores = hosts.select("host", (F.col("allow") * (1 - damping)).alias("trust"), (F.col("block") * (1 - damping)).alias("distrust"), F.col("block").alias("suspicion"))
     if not edges.isEmpty():  # without links no mass moves
+        # Hosts that are only linked to are seeds where a rule fits the whole host.
+        named = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").withColumn("v", rule_of(F.col("host"), F.lit("/"), rules)["verdict"])
+        linked = named.where("v is not null").select("host", *(F.when(F.col("v") == v, 1.0).otherwise(0.0).alias(v) for v in ("allow", "block")))
+        seeds = common.materialize(hosts.unionByName(linked), "seeds")
         along = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n")
-        trust = spread(hosts.select("host", F.col("allow").alias("seed")), along, damping, rounds).withColumnRenamed("mass", "trust")
+        trust = spread(seeds.select("host", F.col("allow").alias("seed")), along, damping, rounds).withColumnRenamed("mass", "trust")
         against = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n")
-        distrust = spread(hosts.select("host", F.col("block").alias("seed")), against, damping, rounds).withColumnRenamed("mass", "distrust")
-        scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").fillna(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") >= threshold * (1 - damping)) & (F.col("distrust") > F.col("trust"))
+        distrust = spread(seeds.select("host", F.col("block").alias("seed")), against, damping, rounds).withColumnRenamed("mass", "distrust")
+        suspect = suspicion(seeds.select("host", F.col("block").alias("seed")), edges, damping, rounds)
+        scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").join(suspect, "host", "left").fillna(0.0, ["trust", "distrust", "suspicion"])
+    bad = (F.col("suspicion") >= threshold - 1e-9) & (F.col("suspicion") * (1 - damping) > F.col("trust"))
     out = rows.join(scores, "host", "left")
     verdict = F.coalesce("verdict", F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
