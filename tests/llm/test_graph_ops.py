@@ -265,3 +265,10 @@ def test_url_verdict_does_not_depend_on_in_links(spark, linkers):
     rows += [(20_000, "http://fair.org/", "<a href='http://bad.example.com/'>" + "<a href='http://good.com/'>" * 9)]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {(r["verdict"], r["page_id"] == 20_000) for r in got.collect()} == {("block", False), ("allow", True)}
+
+
+@pytest.mark.parametrize("open_", ["<ul>" + "<li>item" * 1000 + "</ul>", "<table>" + "<tr><td>a<td>b<td>c" * 300 + "</table>", "<div>" * 1000 + "</div>" * 1000])
+def test_extract_after_many_open_and_implied_ends(open_):
+    got = html.extract(f"<article>{BODY}{open_}<nav>menu, menu</nav><p>Last one, here.</p><p>Very last, here.</p></article>")
+    assert got.startswith("\n".join(WANT)) and got.endswith("\nLast one, here.\nVery last, here.") and "menu" not in got
+    assert html.extract("<div>" * 2000 + "<nav>menu, menu</nav><p>One, here.</p><p>Two, here.</p>") == "One, here.\nTwo, here."

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as charrefs
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +39,6 @@ ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\"
 FRAMES = frozenset("table tbody thead tfoot tr ul ol dl menu dir hgroup".split())
 SPACE = re.compile(r"\s+")
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-DEEPEST = 400
 
 
 class Node:
@@ -70,7 +70,16 @@ def furniture(tag: str, attrs: str) -> bool:
 def parse(page: str) -> Node:
     """The tree of block elements; text and links are strings and (text,) tuples inside. Inline elements are dropped."""
     root = Node("body", None, False)
-    at, pos, link, depth = root, 0, 0, 0
+    at, pos, link = root, 0, 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that a tag without one isn't looked for
+
+    def leave(to: Node) -> Node:
+        n = at
+        while n is not to:
+            opened[n.tag] -= 1
+            n = n.up
+        return to
+
     for m in iter(lambda: TOKEN.search(page, pos), None):
         if m.start() > pos:
             at.inside.append((page[pos : m.start()], link > 0))
@@ -81,13 +90,12 @@ def parse(page: str) -> Node:
         if m[1] or m[4]:
             if tag == "a":
                 link = 0
-            elif tag in BLOCK or tag in GONE:
+            elif opened[tag]:
                 n, stop = at, SCOPE.get(tag, ())
                 while n.up and n.tag != tag and n.tag not in stop:
                     n = n.up
                 if n.up and n.tag == tag:
-                    while at is not n.up:
-                        at, depth = at.up, depth - 1
+                    at = leave(n.up)
                     link = 0
             continue
         attrs = m[3] or m[6] or ""
@@ -108,9 +116,8 @@ def parse(page: str) -> Node:
                 while n.up and n.tag not in BLOCK:
                     n = n.up
                 if n.tag == "p" or (tag in HEADS and n.tag in HEADS):
-                    at = n.up
-                    depth -= 1
-            if tag in CLOSES:
+                    at = leave(n.up)
+            if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
                 n, stop = at, SCOPE[tag]
                 last = None
                 while n.up and n.tag not in stop and n.tag != "article":
@@ -118,17 +125,17 @@ def parse(page: str) -> Node:
                         last = n
                     n = n.up
                 if last is not None:
-                    at = last.up
+                    at = leave(last.up)
             if tag not in BLOCK and tag not in GONE:
                 # Furniture made of an inline element: skip to its own end tag.
                 after = _end_of(page, tag, pos)
                 link = 0 if tag == "a" and after > pos else link
                 pos = after
                 continue
-            if depth < DEEPEST:
-                node = Node(tag, at, gone)
-                at.inside.append(node)
-                at, depth = node, depth + 1
+            node = Node(tag, at, gone)
+            at.inside.append(node)
+            at = node
+            opened[tag] += 1
     if pos < len(page):
         at.inside.append((page[pos:], link > 0))
     return root
