@@ -334,3 +334,9 @@ def test_lm_core_is_picked_by_exact_counts(spark):
     m = brownlm.train(df, brownlm.hot_words(df, 10), 2)
     h = [int(texthash.words_of_block([w])[0][0]) for w in (b"giant", b"huge")]
     assert set(h) <= set(m.words.tolist()) and not {r["h"] % (1 << 64) for r in m.placed.collect()} & set(h)
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 400 == 0, "rare").otherwise(F.concat(F.lit("l"), F.col("id") % 7)).alias("lang"), F.lit("some text").alias("text"))
+    got = {r["lang"]: r["count"] for r in langid.sample(rows, 400).groupBy("lang").count().collect()}
+    assert got == {k: 50 for k in ["rare", *(f"l{i}" for i in range(7))]}

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -74,9 +74,11 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     if not counts:
         return known.select("lang", F.lit(b"").alias("buckets"), F.lit(b"").alias("shares"))
     each = max(1, rows // len(counts))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 1.2 * each / r[1])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, (1.2 * each + 6 * math.sqrt(each)) / r[1])))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003))
-    few = known.where(place < share[F.col("lang")] * 1_000_003).orderBy(place, "doc_id").limit(rows)
+    few = known.where(place < share[F.col("lang")] * 1_000_003)  # somewhat more than each of a language
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text")))
+    few = few.withColumn("nth", first).where(F.col("nth") <= each).select("lang", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
