@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,12 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share; a local one only where one machine runs all and names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="tidemark-"))
     return "file://" + _OWN_DIR[0]
@@ -63,15 +66,59 @@ def next_power(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
+#: Edges that one task contracts at a time; up to so many need no rounds between tasks.
+CONTRACTED = 1 << 20
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable) of the edges u-v: roots hook on to smaller ones, then all paths are halved."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    up = np.arange(len(nodes))
+    while True:
+        hi, lo = np.maximum(up[a], up[b]), np.minimum(up[a], up[b])
+        live = hi != lo
+        if not live.any():
+            return nodes, nodes[up]
+        a, b = a[live], b[live]
+        np.minimum.at(up, hi[live], lo[live])
+        while not np.array_equal(half := up[up], up):
+            up = half
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task as stars: every node but the smallest of its component points to that one."""
+
+    def stars(held: list) -> pa.RecordBatch:
+        node, least = smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at = node != least
+        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(least[at])], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+        n += b.num_rows
+        if n >= CONTRACTED:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every end of an edge; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds. Each star is one pre-aggregated minimum per node and a join back, so
-    that a hub's edges are never gathered in one task, and each round is written to the shared folder. Rows with a null
-    end and loops are ignored; no edges give an empty table.
+    Every task first contracts its own edges to stars. If CONTRACTED or fewer edges are left, one more task contracts
+    them; otherwise alternating large-star and small-star rounds follow. Each of their stars is one pre-aggregated
+    minimum per node and a join back, so that a hub's edges are never gathered in one task, and each round is written to
+    the shared folder. Rows with a null end and loops are ignored; no edges give an empty table.
     """
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    now = materialize(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = materialize(now.mapInArrow(_contract, "u long, v long"), "edges")
+    if now.count() <= CONTRACTED:
+        now = materialize(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "stars")
+        return _with_roots(now)
+    now = materialize(now.distinct(), "edges")
     before = None
     while True:
         now = materialize(_small_star(materialize(_large_star(now), "large")), "stars")
@@ -79,7 +126,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if seen == before or not seen[0]:
             break
         before = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _with_roots(now)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return out.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -101,6 +153,26 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
 
 
+#: Bits of a prefilter for each key, and its least and most bits: at most 32 MB are broadcast, however many keys there are.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+
+
+def likely_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose column may be in keys (a written table of one column): all that are, and few others.
+
+    A bitmap of the keys' hashes, made in buckets of 4 kB, is broadcast, so that rows without a partner stay where they
+    are; an exact join has to follow. With far more keys than MOST_BITS it passes most rows, which costs time only.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, next_power(KEY_BITS * keys.count())))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    own = keys.select(place(F.col(keys.columns[0])).alias("p"))
+    maps = own.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = df.withColumns({"__bucket": F.bitmap_bucket_number(place(F.col(column))), "__at": at}).join(F.broadcast(maps), "__bucket")
+    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*df.columns)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

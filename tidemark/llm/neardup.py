@@ -3,9 +3,10 @@
 1. Texts with equal shingle sets form a class; its smallest doc_id stands for it.
 2. Representatives get BANDS * ROWS min-hashes. Per band, every representative is tied to the smallest one with the same
    band (a pre-aggregated minimum and a join: as many ties as rows, however full a bucket is). Connected ties are groups.
-3. Groups are dealt out in blocks of one or two chunks, of at most BLOCK members each. In a block, pairs that share a band are compared by
-   batches of signatures; a pair is pruned once the posterior probability of similarity >= 0.75 falls under MISS, and
-   survivors are verified on their full shingle sets. Pairs that are connected already need no verdict.
+3. Groups are dealt out in blocks of one or two chunks, cut by members and by bytes. In a block, a member meets all
+   others that share a band with it and that it isn't connected to yet: batches of signatures are compared, a pair is
+   pruned once the posterior probability of similarity >= 0.75 falls under MISS, and survivors are verified on their full
+   shingle sets, one member against all its survivors at a time.
 4. A group larger than one block first meets its own first chunk; members that this does not join to the group's
    largest part are then compared with all members, again in blocks. No bucket or group is capped, and no pair that
    could change a component goes unseen.
@@ -30,12 +31,15 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH, MISS = 40, 1e-6
 NUM, DEN = 75, 100
-#: A group of up to WHOLE members is one block; larger ones are cut into chunks of about 2 * sqrt(members), at most BLOCK.
+#: A group of up to WHOLE members is one block; larger ones are cut into chunks of about 4 * sqrt(members), at most BLOCK.
 WHOLE, BLOCK = 256, 1024
+#: Shingle hashes of a chunk, about; a group with more is cut into more chunks (a longer text is a chunk by itself).
+CHUNK_SHINGLES = 1 << 21
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+KEY = ("n_shingles", "set_a", "set_b")
 MEMBERS = "grp long, ci int, cj int, doc_id long, chunk int, signature binary, shingles binary"
 
 
@@ -49,25 +53,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band."""
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    """One 64-bit key per band of a signature, or of each row of signatures."""
+    rows = sig.reshape(*sig.shape[:-1], BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
-        key = mix(key + rows[:, k])
+        key = mix(key + rows[..., k])
     return key.view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted shingle sets share 100 * intersection >= 75 * union."""
-    if DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
-        return False
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum()) if len(large) else 0
-    return both > 0 and DEN * both >= NUM * (len(a) + len(b) - both)
-
-
 @lru_cache
 def least_matches() -> tuple[int, ...]:
     """After each batch, the fewest equal hashes with P(similarity >= 0.75 | matches) >= MISS under a uniform prior."""
@@ -85,45 +78,61 @@ def least_matches() -> tuple[int, ...]:
 
 def survivors(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Indexes of rows of many that share a band with one and are not pruned by any batch."""
-    same = many == one
-    left = np.flatnonzero(same.reshape(len(many), BANDS, ROWS).all(axis=2).any(axis=1))
+    return pruned(one, many, np.flatnonzero((bands(many) == bands(one)).any(axis=-1)))
+
+
+def pruned(one: np.ndarray, many: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Those of left, indexes of rows of many, whose batches of signatures leave similarity >= 0.75 to one possible."""
+    matches = np.zeros(len(left), dtype=np.int64)
     for k, least in enumerate(least_matches()):
         if not len(left):
             break
-        left = left[same[left, : (k + 1) * BATCH].sum(axis=1) >= least]
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches = matches + (many[left, part] == one[part]).sum(axis=1)
+        left, matches = left[matches >= least], matches[matches >= least]
     return left
 
 
-class Parts:
-    """Union-find over a block's members."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+class Sets:
+    """The shingle sets of a block, with shingles renumbered, so that one set is held against many at once."""
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.seen = np.zeros(len(names), dtype=bool)
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others with 100 * intersection >= 75 * union with set i."""
+        small, large = np.minimum(self.size[i], self.size[others]), np.maximum(self.size[i], self.size[others])
+        others = others[(DEN * small >= NUM * large) & (small > 0)]
+        if not len(others):
+            return others
+        own = self.flat[self.start[i] : self.start[i + 1]]
+        self.seen[own] = True
+        hits = self.seen[np.concatenate([self.flat[self.start[j] : self.start[j + 1]] for j in others.tolist()])]
+        self.seen[own] = False
+        size = self.size[others]
+        both = np.add.reduceat(hits, np.cumsum(size) - size, dtype=np.int64)
+        return others[DEN * both >= NUM * (self.size[i] + size - both)]
 
 
 def links_of_block(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that join a block's members; left: the members of one of two chunks to compare with the other, or None to
     compare all pairs."""
-    parts, out = Parts(len(ids)), []
+    n, out = len(ids), []
+    part, keys, held = np.arange(n), bands(sigs), Sets(sets)
     right = None if left is None else np.flatnonzero(~left)
-    for i in range(len(ids) - 1) if left is None else np.flatnonzero(left).tolist():
-        root = parts.find(i)
-        others = np.array([j for j in (range(i + 1, len(ids)) if right is None else right.tolist()) if parts.find(j) != root], dtype=np.int64)
-        for j in others[survivors(sigs[i], sigs[others])].tolist() if len(others) else ():
-            if parts.find(i) != parts.find(j) and similar(sets[i], sets[j]):
-                parts.join(i, j)
-                out.append((ids[i], ids[j]))
+    for i in range(n - 1) if left is None else np.flatnonzero(left).tolist():
+        others = np.arange(i + 1, n) if right is None else right
+        others = others[part[others] != part[i]]
+        others = others[(keys[others] == keys[i]).any(axis=1)]
+        found = held.similar(i, pruned(sigs[i], sigs, others))
+        if len(found):
+            parts, first = np.unique(part[found], return_index=True)
+            out += [(ids[i], ids[j]) for j in found[first].tolist()]
+            joined = np.append(parts, part[i])
+            part[np.isin(part, joined)] = joined.min()
     return out
 
 
@@ -146,30 +155,31 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """Signature and shingles of each representative; texts: grp, n, doc_id, text."""
+    """Signature and shingles of each representative; texts: grp, doc_id, text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_slices(batches):
-            sigs, sets = [], []
+            sigs, sets, n = [], [], []
             for _, run in blocks([t.encode() for t in common.texts_of(b.column("text"))]):
                 for s in shingles_of_block(run):
                     sigs.append(signature(s).tobytes())
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("n"), b.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["grp", "n", "doc_id", "signature", "shingles"])
+                    n.append(len(s))
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["grp", "doc_id", "size", "signature", "shingles"])
 
-    return texts.select("grp", "n", "doc_id", "text").mapInArrow(rows, "grp long, n long, doc_id long, signature binary, shingles binary")
+    return texts.select("grp", "doc_id", "text").mapInArrow(rows, "grp long, doc_id long, size long, signature binary, shingles binary")
 
 
 def _compare(dealt: DataFrame) -> DataFrame:
-    """Links of blocks (grp, ci, cj): chunk ci against itself (ci = cj) or against chunk cj."""
+    """(grp, a, b): links of blocks (grp, ci, cj): chunk ci against itself (ci = cj) or against chunk cj."""
 
-    def close(key, held: list) -> list[tuple[int, int]]:
+    def close(key, held: list) -> list[tuple[int, int, int]]:
         if len(held) < 2:
             return []
         ids = [x[0] for x in held]
         sigs = np.stack([np.frombuffer(x[2], dtype=np.uint32) for x in held])
         left = None if key[1] == key[2] else np.array([x[1] == key[1] for x in held])
-        return links_of_block(ids, sigs, [np.frombuffer(x[3], dtype=np.uint64) for x in held], left)
+        return [(key[0], *x) for x in links_of_block(ids, sigs, [np.frombuffer(x[3], dtype=np.uint64) for x in held], left)]
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held, out = None, [], []
@@ -180,16 +190,19 @@ def _compare(dealt: DataFrame) -> DataFrame:
                     key, held = (grp, ci, cj), []
                 held.append((doc, chunk, sig, sh))
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                yield pd.DataFrame(out, columns=["grp", "a", "b"])
                 out = []
-        yield pd.DataFrame(out + close(key, held), columns=["a", "b"])
+        yield pd.DataFrame(out + close(key, held), columns=["grp", "a", "b"])
 
     order = dealt.select(*[x.split()[0] for x in MEMBERS.split(", ")]).repartition("grp", "ci", "cj").sortWithinPartitions("grp", "ci", "cj", "doc_id")
-    return order.mapInPandas(rows, "a long, b long")
+    return order.mapInPandas(rows, "grp long, a long, b long")
 
 
-def _chunk_size(n: Column) -> Column:
-    return F.when(n <= WHOLE, n).otherwise(F.least(F.lit(float(BLOCK)), F.greatest(F.lit(WHOLE / 2), 2 * F.sqrt(n))))
+def _chunks(n: Column, shingles: Column, all_members: Column | None = None) -> Column:
+    """Into how many chunks n members with so many shingles are cut; all_members: those of their whole group."""
+    whole = n if all_members is None else all_members
+    size = F.when(whole <= WHOLE, whole).otherwise(F.least(F.lit(float(BLOCK)), F.greatest(F.lit(WHOLE / 2), 4 * F.sqrt(whole))))
+    return F.ceil(F.greatest(n / size, shingles / F.lit(CHUNK_SHINGLES))).cast("int")
 
 
 def _chunk(doc: Column, count: Column) -> Column:
@@ -204,46 +217,60 @@ def components(docs: DataFrame) -> DataFrame:
     are kept. An empty table gives an empty table. Other columns are ignored.
     """
     sets = common.materialize(sets_of(docs), "sets")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    classes = common.materialize(classes.select("n_shingles", "set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "classes")
+    some = sets.where("n_shingles > 0 and doc_id is not null")
+    classes = some.groupBy(*KEY).agg(F.min(F.struct("doc_id", "bands")).alias("r"))
+    classes = common.materialize(classes.select(*KEY, F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "classes")
     spread = classes.select("rep", F.explode("bands").alias("band"))
     hubs = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hubs = common.materialize(hubs, "hubs")
-    ties = spread.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = common.materialize(common.connected_components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
-    sizes = common.materialize(groups.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
-    wanted = groups.join(sizes, "grp").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b"), "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "grp", "n"), "doc_id")
-    members = _members(texts).withColumn("chunks", F.ceil(F.col("n") / _chunk_size(F.col("n"))).cast("int"))
-    members = common.materialize(members.withColumn("chunk", _chunk(F.col("doc_id"), F.col("chunks"))), "members")
+    ties = spread.join(hubs, "band").where("rep <> hub")
+    groups = common.materialize(common.connected_components(ties, "rep", "hub").toDF("doc_id", "grp"), "groups")
+    # Only texts of group members, and a few more, move.
+    texts = common.likely_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", groups.select("doc_id")).join(groups, "doc_id")
+    members = common.materialize(_members(texts), "members")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    sizes = common.materialize(sizes.select("grp", "n", _chunks(F.col("n"), F.col("shingles")).alias("chunks")), "sizes")
+    dealt = members.join(sizes, "grp").withColumn("chunk", _chunk(F.col("doc_id"), F.col("chunks")))
     meets = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    first = members.select("*", F.explode(meets).alias("cj")).withColumn("ci", F.lit(0))
-    links = common.materialize(_compare(first), "links")
-    large = sizes.where(F.col("n") > WHOLE)
-    if not large.isEmpty():
-        links = links.unionByName(_rest(members, links, large))
-    copies = sets.where("n_shingles > 0 and doc_id is not null").join(classes.select("n_shingles", "set_a", "set_b", "rep"), ["n_shingles", "set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = common.connected_components(links.select("a", "b").unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
-    out = sets.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    links = common.materialize(_compare(dealt.select("*", F.explode(meets).alias("cj")).withColumn("ci", F.lit(0))), "links")
+    large = sizes.where("chunks > 1")
+    if not large.isEmpty():  # without large groups every pair has met
+        links = links.unionByName(_rest(dealt, links, large))
+    joined = links.select("a", "b")
+    several = common.materialize(sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:  # one document may be in several classes
+        joined = joined.union(some.join(several, "doc_id").join(classes.select(*KEY, "rep"), list(KEY)).select("doc_id", "rep"))
+    found = common.connected_components(joined)
+    known = classes.select(*KEY, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*KEY, F.coalesce("component", "rep").alias("component"))
+    # The written table gives the join an exchange of its own, which splits where a class holds many rows.
+    known = common.materialize(known, "known")
+    out = sets.select("doc_id", *KEY).join(known, list(KEY), "left")
+    whole = F.coalesce("component", "doc_id")
+    if repeated:
+        out = out.join(found.toDF("doc_id", "linked"), "doc_id", "left")
+        whole = F.coalesce("linked", whole)
+    whole = F.when(F.col("doc_id").isNotNull(), whole)
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _rest(members: DataFrame, links: DataFrame, large: DataFrame) -> DataFrame:
     """Links of large groups between members outside the group's largest part so far and all members."""
     big = members.join(large.select("grp"), "grp", "left_semi")
-    parts = common.connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
-    parts = common.materialize(parts, "parts")
-    known = common.materialize(big.select("grp", "doc_id").join(parts, "doc_id", "left").select("grp", "doc_id", F.coalesce("part", "doc_id").alias("part")), "parts")
-    main = known.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    parts = common.connected_components(links.join(large.select("grp"), "grp", "left_semi")).toDF("doc_id", "part")
+    known = big.select("grp", "doc_id", "n", "size").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    known = common.materialize(known, "parts")
+    by_part = known.groupBy("grp", "n", "part").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"))
+    main = by_part.groupBy("grp", "n").agg(F.max_by("part", F.struct("m", "part")).alias("main"), (F.sum("m") - F.max("m")).alias("rest"), (F.sum("shingles") - F.max_by("shingles", F.struct("m", "part"))).alias("shingles"))
+    main = main.where("rest > 0").select("grp", "main", F.greatest(F.lit(1), _chunks(F.col("rest"), F.col("shingles"), F.col("n"))).alias("rows"))
     main = common.materialize(main, "main")
-    rest = common.materialize(known.join(main, "grp").where("part <> main").select("grp", "doc_id"), "rest")
-    counts = rest.groupBy("grp").agg(F.count("*").alias("rest")).join(large, "grp").select("grp", F.ceil(F.col("rest") / _chunk_size(F.col("n"))).cast("int").alias("rows"))
-    counts = common.materialize(counts, "counts")
-    others = members.join(counts, "grp")
-    apart = others.join(rest, ["grp", "doc_id"], "left_semi").withColumn("row", _chunk(F.col("doc_id"), F.col("rows")))
+    held = known.select("grp", "doc_id", "part").join(main, "grp").select("grp", "doc_id", "rows", (F.col("part") != F.col("main")).alias("apart")).dropDuplicates(["grp", "doc_id"])
+    held = common.materialize(held, "apart")
+    others = members.join(held, ["grp", "doc_id"])
+    apart = others.where("apart").withColumn("row", _chunk(F.col("doc_id"), F.col("rows")))
     # Chunks of the rest are numbered from -1 down; block (ci, cj) holds the rest's chunk ci and the members' chunk cj.
     a = apart.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cj")).withColumn("ci", -1 - F.col("row")).withColumn("chunk", F.col("ci"))
-    b = others.join(rest, ["grp", "doc_id"], "left_anti").withColumn("cj", F.col("chunk")).select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).withColumn("ci", -1 - F.col("row"))
+    b = others.where("not apart").withColumn("cj", F.col("chunk")).select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).withColumn("ci", -1 - F.col("row"))
     # Within the rest, every pair of its chunks.
     pair = apart.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("other"))
     c = pair.withColumn("ci", -1 - F.least("row", "other")).withColumn("cj", -1 - F.greatest("row", "other")).withColumn("chunk", -1 - F.col("row"))
