@@ -111,17 +111,45 @@ def test_vectors(spark, monkeypatch):
     rows += [(len(rows) + i, rows[0][1], 0) for i in range(5)]
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, rows[0][1], None), (n + 4, [], 1), (n + 5, [None] + [1.0] * 15, 0), (n + 6, [1.0, 0.0], 1), (n + 7, [2.0, 0.0], 1), (n + 8, [1e200] * 16, 2), (n + 9, [float("inf")] + [0.0] * 15, 2)]
-    for held in (vectors.HELD, 64):
-        monkeypatch.setattr(vectors, "HELD", held)
-        df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, rep int").repartition(4)
-        links, comp = brute_vectors(rows)
-        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df).collect()}
+    links, comp = brute_vectors(rows)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, rep int").repartition(4)
+    for whole, window in ((vectors.WHOLE, vectors.WINDOW), (16, 8)):
+        monkeypatch.setattr(vectors, "WHOLE", whole)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df, window=window).collect()}
         assert got == {i: (links[i], comp[i], comp[i] == i) for i in comp}
-        if held == vectors.HELD:
-            break
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("partitions,batch", [(1, 10_000), (4, 64), (64, 64), (200, 10_000)])
+def test_vector_links_do_not_depend_on_layout(spark, partitions, batch):
+    """One group of 1,500 near copies, of which all are linked, and some rows apart."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(scale=0.01, size=16)).tolist(), 1) for i in range(1500)] + [(2000 + i, rng.normal(size=16).tolist(), 1) for i in range(20)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(keep, (partitions, batch, "false"), strict=True):
+            spark.conf.set(k, v)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    links, comp = brute_vectors(rows)
+    assert got == {i: (links[i], comp[i]) for i in comp} and sum(links.values()) == 1500 * 1499
+
+
+def test_windows_reach_over_small_ranges():
+    met = vectors._meetings([(0, 100), (3, 2), (4, 1), (9, 50)], 48)
+    assert [m for m in met if m[2] == 3] == [(9, "head", 3), (4, "tail", 3), (3, "tail", 3), (0, "tail", 3)]
+    assert [m for m in met if m[2] == 1] == [(3, "head", 1), (0, "tail", 1)]
+
+
+def test_vectors_of_a_shared_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (4, [1.0, 1.0], 0), (2, [1.0, 0.001], 0), (None, [1.0, 0.0], 0)]
+    got = sorted(map(str, (tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())))
+    assert got == sorted(map(str, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (None, 0, None, True)]))
+
+
 def test_vectors_of_single_precision(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(20, 12))
@@ -272,3 +300,53 @@ def test_extract_after_many_open_and_implied_ends(open_):
     got = html.extract(f"<article>{BODY}{open_}<nav>menu, menu</nav><p>Last one, here.</p><p>Very last, here.</p></article>")
     assert got.startswith("\n".join(WANT)) and got.endswith("\nLast one, here.\nVery last, here.") and "menu" not in got
     assert html.extract("<div>" * 2000 + "<nav>menu, menu</nav><p>One, here.</p><p>Two, here.</p>") == "One, here.\nTwo, here."
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(common, "CONTRACTED", 0)  # every graph takes the rounds between tasks
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 3000 + i) for i in range(200)]
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    want = reach({x for ab in links for x in ab}, links)
+    assert got == {k: v for k, v in want.items() if any(k in ab and ab[0] != ab[1] for ab in links)}
+
+
+def test_contraction_of_random_graphs():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (5, 3), (50, 40), (400, 390), (400, 900)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = reach({*u.tolist(), *v.tolist()}, list(zip(u.tolist(), v.tolist(), strict=True)))
+        assert dict(zip(*(x.tolist() for x in common.smallest_reachable(u, v)), strict=True)) == want
+
+
+def test_near_duplicates_of_a_template_and_long_texts(spark, monkeypatch):
+    """Texts that share bands but not enough shingles, with a few true pairs, dealt into many chunks by size."""
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", 400)
+    rng = random.Random(12)
+    say = lambda k: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(k)]
+    shell, rows = say(40), []
+    for i in range(60):
+        own = say(9)
+        rows += [(2 * i, " ".join(shell + own)), (2 * i + 1, " ".join(shell + own[:-1]))]
+    rows.append((500, " ".join(say(3000))))
+    rows.append((501, rows[-1][1] + " end"))
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    want = reach(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if near(sets[a], sets[b])])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == want
+
+
+def test_deduplicate_beside_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "z", 5, 6)], "doc_id long, text string, __gone int, kept int")
+    assert sorted(tuple(r) for r in neardup.deduplicate(df).collect()) == [(1, "a b c d e f", 1, 2), (3, "z", 5, 6)]
+
+
+def test_prefilter_keeps_all_partners(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id", "id * 2 AS t")
+    keys = common.materialize(spark.range(0, 5000, 7), "keys")
+    for most in (common.MOST_BITS, 64):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        got = {r["id"] for r in common.likely_in(df, "id", keys).collect()}
+        assert got >= set(range(0, 5000, 7)) and (len(got) < 800 or most == 64)
+    assert common.likely_in(df, "id", keys.where("id < 0")).count() == 0

@@ -86,7 +86,8 @@ def test_likeness_is_bounded_and_symmetric(a, b):
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
 def test_similarity_is_exact(a, b):
     x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
-    assert neardup.similar(x, y) == (100 * len(a & b) >= 75 * len(a | b))
+    got = neardup.Sets([x, y, x, y[:0]]).similar(0, np.array([1, 2, 3])).tolist()
+    assert got == [1] * (100 * len(a & b) >= 75 * len(a | b)) + [2]
 
 
 def test_bands_find_pairs_at_the_threshold():
@@ -99,8 +100,11 @@ def test_bands_find_pairs_at_the_threshold():
     assert found == 300
 
 
-def test_windows_follow_groups():
+def test_windows_hold_all_near_rows():
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(40, 8)), rng.normal(size=(1, 8)) + rng.normal(scale=1e-3, size=(200, 8))])
-    links = vectors.window_links(np.zeros(240, dtype=int), x, 16, 0.98)
-    assert len({tuple(p) for p in links.tolist() if min(p) >= 40}) == 200 * 199 // 2
+    x = vectors._unit(rng.normal(size=(700, 3)))
+    group = np.repeat([0, 1, 1], [300, 200, 200])
+    for window, begin in ((16, 0), (300, 5), (48, 299)):
+        got = vectors.window_links(group, x, window, 0.98, begin)
+        want = [(i, j) for i in range(700) for j in range(max(i + 1, begin), min(700, i + window + 1)) if group[i] == group[j] and x[i] @ x[j] >= 0.98]
+        assert sorted(map(tuple, got.tolist())) == want
