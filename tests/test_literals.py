@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -58,11 +59,6 @@ def test_ewma_and_volatility(spark):
     assert np.allclose(np.array(col(out, "volatility", "t"), float), want)
 
 
-def test_fold_in_engine(spark):
-    out = windows.folded(series(spark, [1, 2, 3]), ["g"], ["t"], ["x"], F.lit(0.0), lambda s, r: s * 0.5 + r["x"], "s")
-    assert col(out, "s", "t") == [1.0, 2.5, 4.25]
-
-
 def test_band_signal(spark):
     df = spark.createDataFrame([(i, float(p), 10.0, 5.0) for i, p in enumerate([7, 11, 12, 10, 20, 15, 4])], "t int, p double, u double, l double")
     assert col(df.withColumn("s", windows.band_signal("p", "u", "l")), "s", "t") == [None, -1, -1, -1, -1, -1, 1]
@@ -401,7 +397,8 @@ def test_memory_and_curves(spark):
     assert np.allclose(col(out, "ema", "i"), [0.5, 1.25, 0.5 * 3 + 0.5 * 0.625, 0.5])
     pts = spark.createDataFrame([("u", D(2023, 1, 1), 0.5, 1.0), ("u", D(2023, 1, 3), 0.5, 2.0), ("v", D(2023, 1, 2), 0.1, 5.0)], "b string, d date, x double, y double")
     daily = smoothing.daily_curves(pts, "d", "b", "x", "y", [0.0, 0.5, 1.0], 0.2).orderBy("b", "d").collect()
-    assert len(daily) == 6 and daily[0]["curve"] == daily[1]["curve"] != daily[2]["curve"]
+    assert [(r["b"], r["d"].day) for r in daily] == [("u", 1), ("u", 2), ("u", 3), ("v", 2), ("v", 3)]  # from a bucket's first day on
+    assert daily[0]["curve"] == daily[1]["curve"] != daily[2]["curve"] and daily[3]["curve"] == daily[4]["curve"]
     df = spark.createDataFrame([([0.0, 2.0, 4.0], 0.25), ([0.0, 2.0, 4.0], 9.0)], "c array<double>, x double")
     assert [r[0] for r in df.select(smoothing.curve_value("c", "x", 0, 1, 3)).collect()] == [1, 4]
 
@@ -609,3 +606,119 @@ def test_stream_ledger_and_upsert(spark, tmp_path):
     s.writeStream.foreachBatch(state.upserting(t, ["ticker"], "seq")).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination(120)
     assert [r["seq"] for r in t.read().collect()] == [6]
     assert state.latest(df, ["ticker"], "seq").first()["seq"] == 6
+
+
+def test_stream_memory_breaks_ties_like_the_batch(spark, tmp_path):
+    rows = [("a", 1, 2, 1.0), ("a", 1, 1, 5.0), ("a", 1, 3, -2.0), ("a", 4, 1, 3.0)]
+    df = spark.createDataFrame(rows, "k string, day long, i int, r double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    state.keyed_memory(s, "k", "day", "r", 0.5, 1.0, 10.0, ["i"]).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r["day"], r["i"], r["ema"]) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("day", "i").collect()]
+    batch = smoothing.keyed_memory(df.withColumn("d", F.date_add(F.lit("2024-01-01"), F.col("day").cast("int"))), "r", "d", ["k"], ["i"], 0.5, 1.0, 10.0)
+    assert np.allclose([x[2] for x in got], [r["ema"] for r in batch.orderBy("d", "i").collect()])
+
+
+def test_late_rows_do_not_replace_newer_ones(spark, tmp_path):
+    t = readers.Table(spark, f"file://{tmp_path}/table", "k int, ts int, v string")
+    sink, schema = state.upserting(t, ["k"], "ts"), "k int, ts int, v string"
+    for epoch, rows in enumerate(([(1, 10, "new"), (2, 1, "x")], [(1, 5, "late"), (3, 1, "y")], [(2, 2, "z"), (2, None, "null")], [(2, 2, "again")])):
+        sink(spark.createDataFrame(rows, schema), epoch)
+    assert sorted(tuple(r) for r in t.read().collect()) == [(1, 10, "new"), (2, 2, "again"), (3, 1, "y")]
+
+
+def _stream(spark, path, parts, schema):
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
+
+
+def _run(df, path, mode="append"):
+    df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination(180)
+    return df.sparkSession.read.parquet(f"{path}/out")
+
+
+def test_stream_windows_drop_late_rows_and_duplicates(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    parts = [[(at(1), "a", 1, 1.0), (at(1), "a", 1, 1.0)], [(at(9), "a", 2, 2.0)], [(at(9, 1), "a", 4, 3.0)], [(at(1, 5), "a", 3, 9.0)], [(at(23), "a", 5, 4.0)]]
+    schema = "ts timestamp, k string, id int, v double"
+    s = _stream(spark, tmp_path / "in", parts, schema)
+    got = _run(state.windowed(s, "ts", ["k"], "v", "1 hour"), tmp_path / "w")
+    assert sorted((r["start"].hour, r["n"], r["total"]) for r in got.collect()) == [(1, 2, 2.0), (9, 2, 5.0)]
+    got = _run(state.deduplicated(s, "ts", ["id"]), tmp_path / "d")
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 4, 5]
+    batch = spark.createDataFrame([r for p in parts for r in p], schema)
+    assert state.deduplicated(batch, "ts", ["id"]).count() == 5
+
+
+def test_stream_join(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 1, m)
+    left = _stream(spark, tmp_path / "l", [[(at(0), 1), (at(5), 2)], [(at(30), 3)]], "lt timestamp, a int")
+    right = _stream(spark, tmp_path / "r", [[(at(1), 1)], [(at(20), 2), (at(31), 3)]], "rt timestamp, b int")
+    on = F.expr("a = b AND rt BETWEEN lt AND lt + INTERVAL 10 MINUTES")
+    assert sorted(r["a"] for r in _run(state.joined(left, right, on, "lt", "rt"), tmp_path).collect()) == [1, 3]
+
+
+def test_curve_and_layer_sinks(spark, tmp_path):
+    schema = "day date, b string, x double, y double"
+    make = lambda d: smoothing.daily_curves(d, "day", "b", "x", "y", [0.0, 1.0], 0.5)
+    sink = state.appending_curves(f"{tmp_path}/curves", make, "day")
+    for epoch, d in ((0, 1), (1, 2), (1, 2)):
+        sink(spark.createDataFrame([(D(2024, 1, d), "u", 0.5, float(d))], schema), epoch)
+    assert spark.read.parquet(f"{tmp_path}/curves").count() == 2
+    rng = np.random.default_rng(1)
+    rows = [(D(2024, 1, 1 + i // 40), f"k{i % 5}", ("p", "q")[i % 2], float(i % 10), float(10 - i % 10 + rng.normal())) for i in range(240)]
+    schema = "day date, key string, bucket string, x double, y double"
+    df = spark.createDataFrame(rows, schema)
+    m = spread.LayeredModel(spread.Config("y", "key", "day", "x", "bucket", 0, 10, monotone=0, width=3.0)).fit(df.where("day < '2024-01-04'"))
+    memory, daily = m.layers(df.where("day < '2024-01-04'"))
+    sink = state.updating_layers(f"file://{tmp_path}/state", m, memory, daily)
+    for epoch, day in ((0, 4), (1, 5), (1, 5), (2, 6)):
+        sink(df.where(F.col("day") == F.lit(D(2024, 1, day))), epoch)
+    whole, curves_ = m.layers(df)
+    got = spark.read.parquet(f"{tmp_path}/state/memory")
+    assert got.count() == 120
+    key = lambda d: sorted((r["key"], r["x"], round(r["ema"], 9), round(r["n"], 9)) for r in d.where("day >= '2024-01-04'").collect())
+    assert key(got) == key(whole)
+    curve = lambda d: sorted((r["bucket"], r["day"], np.round(r["curve"], 9).tolist()) for r in d.where("day >= '2024-01-04'").collect())
+    assert curve(spark.read.parquet(f"{tmp_path}/state/daily")) == curve(curves_)
+
+
+def test_linear_solvers_match_dense_ones(spark):
+    rng = np.random.default_rng(4)
+    for n, lam in ((1, 2.0), (2, 0.5), (40, 3.0)):
+        v, d = rng.normal(size=(n, 2)), np.diff(np.eye(n), axis=0)
+        assert np.allclose(smoothing.smoothed(v, lam), np.linalg.solve(np.eye(n) + lam * d.T @ d, v))
+    rows = [(t, float(x), float(rng.normal() + t * x)) for t in range(6) for x in rng.normal(size=8)]
+    df = spark.createDataFrame(rows, "d int, x double, y double")
+    got = spread.fit_basis(df, "y", [F.lit(1.0), F.col("x")], 0.1, "d", 2.0)
+    a, c = np.zeros((12, 12)), np.zeros(12)
+    for t, x, y in rows:
+        b = np.array([1.0, x])
+        a[2 * t : 2 * t + 2, 2 * t : 2 * t + 2] += np.outer(b, b)
+        c[2 * t : 2 * t + 2] += b * y
+    a += 0.1 * np.eye(12) + 2.0 * np.kron((lambda e: e.T @ e)(np.diff(np.eye(6), axis=0)), np.eye(2))
+    assert np.allclose(np.stack([got[t] for t in range(6)]).ravel(), np.linalg.solve(a, c))
+
+
+def test_plans_gather_nothing_that_grows(spark):
+    points = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(300)], "id long, v array<double>")
+    near = joins.nearest(points.where("id % 20 = 0"), points, "id", "id", "v", "v", 3)
+    plan = lambda d: d._jdf.queryExecution().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoop|LocalTableScan", plan(near))
+    flip = aggs.relabel_states(spark.range(10).selectExpr("id % 3 AS s", "id AS v"), "v", "s")
+    assert "ResolvedHint" not in plan(flip)
+    pts = spark.range(50).selectExpr("date_add('2024-01-01', cast(id % 9 AS int)) AS d", "id % 4 AS b", "id / 50.0D AS x", "cast(id AS double) AS y")
+    curves_ = smoothing.daily_curves(pts, "d", "b", "x", "y", [0.0, 1.0], 0.2)
+    assert "CartesianProduct" not in plan(curves_) and curves_.count() > 0
+
+
+def test_series_over_small_batches(spark):
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame([(g, i, float(i)) for g, n in ((1, 10), (2, 1), (3, 2), (None, 7), (4, 3)) for i in range(n)], "g int, t int, x double")
+        got = {(r["g"], r["t"]): r["s"] for r in windows.series(df, ["g"], ["t"], {"s": "double"}, lambda f: {"s": f["x"].cumsum().to_numpy()}).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    assert got == {(g, i): i * (i + 1) / 2 for g, n in ((1, 10), (2, 1), (3, 2), (None, 7), (4, 3)) for i in range(n)}

@@ -31,7 +31,7 @@ def plain(v):
 
 def near(a, b):
     if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool):
-        return math.isclose(a, b, rel_tol=1e-7, abs_tol=2e-5)
+        return math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)
     return a == b
 
 

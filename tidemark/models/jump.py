@@ -69,7 +69,7 @@ def candidates(k: int, n: int = 400) -> np.ndarray:
     return np.array([[*c, steps - sum(c)] for c in itertools.product(range(steps + 1), repeat=k - 1) if sum(c) <= steps]) / steps
 
 
-def fit_continuous(y: np.ndarray, k: int, size: float, seed: int, n: int = 101, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_continuous(y: np.ndarray, k: int, size: float, seed: int, n: int = 400, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
     rng = np.random.default_rng(seed)
     theta, grid = spread_start(y, k, rng), candidates(k, n)
     penalty = size / 4 * np.abs(grid[:, None, :] - grid[None, :, :]).sum(2) ** 2

@@ -46,6 +46,19 @@ def _gram_by_batches(named: DataFrame, p: int) -> tuple[np.ndarray, int]:
     return np.array([got.get(k, 0.0) for k in range(p * p)]).reshape(p, p), int(got.get(p * p, 0))
 
 
+def grams(df: DataFrame, by: str, columns: Sequence[Column], weight: Column | None = None) -> dict:
+    """gram of each level of a category column that isn't null, in one grouped aggregate: {level: (sums, rows)}."""
+    p = len(columns)
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    named = df.select(F.col(by).alias("level"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)], w.alias("w")).dropna()
+    sums = [F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
+    out = {}
+    for r in named.groupBy("level").agg(F.count("*").alias("n"), *sums).collect():  # one row a category
+        g = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
+        out[r["level"]] = (g, r["n"])
+    return out
+
+
 @dataclass
 class Line:
     """A fitted linear model."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import curves
-from .linear import gram, solve
+from .linear import gram, grams, solve
 
 RIDGE = 1e-8
 
@@ -80,8 +80,7 @@ class ProductModel:
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         self.scalar = float(df.agg(F.sum(w * F.col(y)) / F.sum(w)).first()[0])
         for b in self.blocks:
-            levels = [None] if b.by is None else sorted(r[0] for r in df.select(b.by).where(F.col(b.by).isNotNull()).distinct().collect())  # categories
-            self.coefficients[b.name] = {v: self._ones(df, b, v) for v in levels}
+            self.coefficients[b.name] = self._ones(df, b)
         best, kept = np.inf, None
         for i in range(rounds):
             for b in self.blocks:
@@ -96,13 +95,17 @@ class ProductModel:
             self.scalar, self.coefficients = kept
         return self
 
-    def _ones(self, df: DataFrame, b: Block, level) -> np.ndarray:
-        """Coefficients whose block is nearest to 1."""
-        part = df if level is None else df.where(F.col(b.by) == F.lit(level))
+    @staticmethod
+    def _sums(df: DataFrame, b: Block, columns: list[Column], w: Column | None = None) -> dict:
+        """(sums of products, rows) by level, in one pass; the level of a block without categories is null."""
+        return {None: gram(df, columns, w)} if b.by is None else grams(df, b.by, columns, w)
+
+    def _ones(self, df: DataFrame, b: Block) -> dict:
+        """By level, coefficients whose block is nearest to 1."""
         basis = b.basis()
-        g, _ = gram(part, [*basis, F.lit(1.0)])
         p = len(basis)
-        return solve(g[:p, :p], g[:p, p], RIDGE)
+        sums = self._sums(df, b, [*basis, F.lit(1.0)])
+        return {v: solve(sums[v][0][:p, :p], sums[v][0][:p, p], RIDGE) for v in sorted(sums, key=str)}
 
     def _loss(self, y: str, w: Column) -> Column:
         p = self.column()
@@ -119,10 +122,8 @@ class ProductModel:
             w = w / F.greatest(self.column(), F.lit(1e-10))
         basis = b.basis()
         p = len(basis)
-        for level in self.coefficients[b.name]:
-            part = df if level is None else df.where(F.col(b.by) == F.lit(level))
-            g, n = gram(part, [*[x * others for x in basis], F.col(y)], w)
-            if n:
+        for level, (g, n) in self._sums(df, b, [*[x * others for x in basis], F.col(y)], w).items():
+            if n and level in self.coefficients[b.name]:
                 self.coefficients[b.name][level] = solve(g[:p, :p], g[:p, p], RIDGE * max(1.0, float(np.trace(g[:p, :p])) / p))
         if b.by is None:
             mean = float(df.agg(F.avg(self.block_column(b))).first()[0])

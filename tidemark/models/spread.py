@@ -148,24 +148,24 @@ def gaussian_basis(x: Column, centers: Sequence[float], width: float) -> list[Co
 
 
 def fit_basis(df: DataFrame, y: str, basis: Sequence[Column], ridge: float, day: str, smooth: float = 0.0) -> dict:
-    """Coefficients per day by ridge least squares with squared day-to-day steps: one aggregate keyed by day, one banded
-    solve over the calendar."""
+    """Coefficients per day by ridge least squares with squared day-to-day steps: one aggregate keyed by day, one
+    block-banded solve over the calendar, linear in its days."""
     p = len(basis)
     named = df.select(F.col(day).alias("d"), F.col(y).cast("double").alias("y"), *[b.alias(f"b{i}") for i, b in enumerate(basis)]).dropna()
     sums = [F.sum(F.col(f"b{i}") * F.col(f"b{j}")).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)] + [F.sum(F.col(f"b{i}") * F.col("y")).alias(f"c{i}") for i in range(p)]
     rows = sorted(named.groupBy("d").agg(*sums).collect(), key=lambda r: r["d"])  # one row a day
     t = len(rows)
-    a, c = np.zeros((t * p, t * p)), np.zeros(t * p)
+    # Elimination down the calendar and back up: a day's p by p block meets only its neighbours'.
+    steps = [np.zeros((p, p))] * t
+    b = np.empty((t, p))
     for k, r in enumerate(rows):
-        s = slice(k * p, (k + 1) * p)
-        g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        a[s, s] += g + ridge * np.eye(p)
-        c[s] = [r[f"c{i}"] for i in range(p)]
-        if k and smooth:
-            o = slice((k - 1) * p, k * p)
-            a[s, s] += smooth * np.eye(p)
-            a[o, o] += smooth * np.eye(p)
-            a[s, o] -= smooth * np.eye(p)
-            a[o, s] -= smooth * np.eye(p)
-    b = np.linalg.solve(a, c).reshape(t, p) if t else np.empty((0, p))
+        near = ((k > 0) + (k < t - 1)) * smooth
+        a = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) + (ridge + near) * np.eye(p)
+        c = np.array([r[f"c{i}"] for i in range(p)])
+        if k:
+            a, c = a - smooth * steps[k - 1], c + smooth * b[k - 1]
+        steps[k] = np.linalg.solve(a, smooth * np.eye(p))
+        b[k] = np.linalg.solve(a, c)
+    for k in range(t - 2, -1, -1):
+        b[k] += steps[k] @ b[k + 1]
     return {r["d"]: b[k] for k, r in enumerate(rows)}

@@ -141,7 +141,24 @@ def relabel_states(df: DataFrame, value: str, state: str, keys: Sequence[str] =
     """state renumbered from 0 by ascending volatility."""
     w = Window.partitionBy(*keys).orderBy("std", state)
     ranks = state_stats(df, value, state, keys).withColumn("__new", F.row_number().over(w) - 1).select(*keys, state, "__new")
-    return df.join(F.broadcast(ranks), [*keys, state]).withColumn(state, F.col("__new").cast("int")).drop("__new")
+    return df.join(ranks, [*keys, state]).withColumn(state, F.col("__new").cast("int")).drop("__new")
+
+
+def order_agrees(df: DataFrame, returns: str, value: str, state: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, agrees): whether mean returns fall as the volatility of value rises from state to state."""
+    by = df.groupBy(*keys, state).agg(F.stddev_pop(value).alias("std"), F.avg(returns).alias("mean"))
+    w = Window.partitionBy(*keys).orderBy("std", state)
+    steps = by.withColumn("ok", F.coalesce(F.col("mean") <= F.lag("mean").over(w), F.lit(True)))
+    return steps.groupBy(*keys).agg(F.bool_and("ok").alias("agrees"))
+
+
+def flip_two_states(df: DataFrame, returns: str, probability: str, keys: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """probability made that of the state of higher volatility: it is flipped to 1 - probability where returns vary more
+    (deviation of the population) on rows below the threshold than on the others; flipped tells. Two keyed sums."""
+    low = F.col(probability) < threshold
+    spread = df.groupBy(*keys).agg(nulls.holds(F.stddev_pop(F.when(low, F.col(returns))) > F.stddev_pop(F.when(nulls.holds(~low) | F.col(probability).isNull(), F.col(returns)))).alias("flipped"))
+    both = df.join(spread, list(keys)) if keys else df.crossJoin(F.broadcast(spread))  # one row
+    return both.withColumn(probability, F.when(F.col("flipped"), 1 - F.col(probability)).otherwise(F.col(probability)))
 
 
 def balanced_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:

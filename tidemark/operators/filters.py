@@ -255,13 +255,21 @@ def select_for_formula(df: DataFrame, formula: str, extra: Iterable[str] = ()) -
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
-    """The same rows each time: those whose hashed key falls under the fraction."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    """The same rows each time, here and in any engine with MD5: those whose key's place falls under the fraction."""
+    return df.where(_place(key, seed) < int(fraction * _PLACES))
+
+
+_PLACES = 1 << 32
+
+
+def _place(key: str, seed: int) -> Column:
+    """The first 32 bits of the MD5 of seed:key, the key as text."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (or all) by hashed key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(_place(key, seed), key).limit(n)
 
 
 def case_control(df: DataFrame, event: Column, rate: float, key: str, seed: int = 42) -> tuple[DataFrame, float]:
@@ -269,5 +277,4 @@ def case_control(df: DataFrame, event: Column, rate: float, key: str, seed: int
     row = df.agg(F.sum(F.when(event, 1).otherwise(0)).alias("e"), F.count("*").alias("n")).first()
     events, others = row["e"] or 0, (row["n"] or 0) - (row["e"] or 0)
     weight = min(1.0, events * (1 - rate) / rate / others) if others else 1.0
-    hashed = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30))
-    return df.where(nulls.holds(event) | (hashed < int(weight * (1 << 30)))), weight
+    return df.where(nulls.holds(event) | (_place(key, seed) < int(weight * _PLACES))), weight

@@ -95,7 +95,8 @@ def rolling_windows(df: DataFrame, date: str, n: int | None) -> DataFrame:
     """Rows of the last n distinct dates up to each run date (all history for None), keyed by run_date.
 
     Run dates are the n-th to the last but one. Each row is expanded to the n run dates that see it, an equi-join on
-    the date's rank; the calendar alone is broadcast, since it has one row per date.
+    its date. With all history a row meets every later run date, so that the output grows with the square of the calendar;
+    models that reduce to sums should take running windows over daily sums instead.
     """
     ranks = date_ranks(df, date)
     if n is None:
@@ -121,48 +122,45 @@ def expand_periods(df: DataFrame, count: str, out: str = "period") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.col(count))))
 
 
-#: Queries compared with the points in one scan.
-QUERY_BLOCK = 4096
+#: Queries and points that meet in a task, about.
+QUERY_BLOCK, POINT_PART = 16_384, 32_768
 
 
 def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, query_vector: str, point_vector: str, k: int, value: str | None = None) -> DataFrame:
     """(q_id, p_id, distance[, value], rank): the k nearest points of each query by Euclidean distance, ranks from 0,
     ties by id. Ids are numbers.
 
-    Queries are dealt into blocks of about QUERY_BLOCK, each of which travels to the points as one matrix; a task keeps k
-    points per query and batch, so that pairs are never expanded.
+    Points are dealt into parts of about POINT_PART and queries into blocks of about QUERY_BLOCK by hash; each part meets
+    each block in a task of its own, which gives k points per query (more where ids have to break a tie), so that pairs
+    are never expanded and nothing is gathered on the driver. A block's k best of all parts are then ranked.
     """
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     slim = points.select(F.col(point_id).cast("long").alias("p_id"), F.col(point_vector).cast("array<double>").alias("v"), *([F.col(value).cast("double").alias(value)] if value else []))
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // POINT_PART))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    left = slim.select("*", spread("p_id", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asked.select("*", spread("id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    names = ["q_id", "p_id", "distance", *([value] if value else [])]
+
+    def meet(key: tuple, pts: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if not len(pts) or not len(qs):
+            return pd.DataFrame({c: [] for c in names}, dtype=float)
+        x, out = np.stack(pts["v"].tolist()), []
+        for lo in range(0, len(qs), 512):
+            ids, m = qs["id"].to_numpy()[lo : lo + 512], np.stack(qs["v"].tolist()[lo : lo + 512])
+            d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] - 2 * m @ x.T + (x * x).sum(1)[None, :]))
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else d.max(1)
+            q, p = np.nonzero(d <= edge[:, None] + 1e-6)  # ties at the edge stay until ids decide
+            exact = np.sqrt(((m[q] - x[p]) ** 2).sum(1))
+            out.append(pd.DataFrame({"q_id": ids[q], "p_id": pts["p_id"].to_numpy()[p], "distance": exact} | ({value: pts[value].to_numpy()[p]} if value else {})))
+        return pd.concat(out)
+
     schema = "q_id long, p_id long, distance double" + (f", `{value}` double" if value else "")
-    found = None
-    for b in range(blocks):
-        block = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
-        rows = block.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
-        if not rows:
-            continue
-        ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-
-        def scan(frames, ids=ids, m=m):
-            for f in frames:
-                for lo in range(0, len(f), 2048):
-                    part = f.iloc[lo : lo + 2048]
-                    x = np.stack(part["v"].tolist())
-                    d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] - 2 * m @ x.T + (x * x).sum(1)[None, :]))
-                    near = np.sort(np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, : min(k, d.shape[1])], axis=1) if k < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(m), 1))
-                    edge = np.take_along_axis(d, near, 1).max(1)
-                    q, p = np.nonzero(d <= edge[:, None] + 1e-6)  # ties at the edge stay until ids decide
-                    exact = np.sqrt(((m[q] - x[p]) ** 2).sum(1))
-                    out = {"q_id": ids[q], "p_id": part["p_id"].to_numpy()[p], "distance": exact}
-                    yield pd.DataFrame(out | ({value: part[value].to_numpy()[p]} if value else {}))
-
-        near = slim.mapInPandas(scan, schema)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = slim.limit(0).select(F.lit(0).cast("long").alias("q_id"), "p_id", F.lit(0.0).alias("distance"), *([value] if value else []))
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, schema)
     w = Window.partitionBy("q_id").orderBy("distance", "p_id")
     return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 

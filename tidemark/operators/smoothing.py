@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls
@@ -36,24 +36,38 @@ def rolling_ridge_impute(df: DataFrame, y: str, x: str, keys: Names, order: Name
     return series(df, keys, order, {out: "double"}, make)
 
 
+def smoothed(v: np.ndarray, lam: float) -> np.ndarray:
+    """Columns of v solved for (I + lam D'D), D the steps between rows: one sweep down and one up."""
+    n = len(v)
+    main = np.full(n, 1 + 2 * lam)
+    main[[0, -1]] = 1 + lam if n > 1 else 1.0
+    out, ratio = np.array(v, dtype=float), np.zeros(n)
+    for i in range(n):
+        pivot = main[i] + (lam * ratio[i - 1] if i else 0.0)
+        ratio[i] = -lam / pivot
+        out[i] = (out[i] + (lam * out[i - 1] if i else 0.0)) / pivot
+    for i in range(n - 2, -1, -1):
+        out[i] -= ratio[i] * out[i + 1]
+    return out
+
+
 def smooth_spread_impute(df: DataFrame, y: str, x: str, keys: Names, order: Names, lam: float, out: str = "imputed") -> DataFrame:
     """y = b x + s with s smooth between observed rows: least squares of the fit plus lam times squared steps of s, solved
-    exactly; s is carried forward, and back before the first observed row."""
+    exactly in time and memory linear in the series; s is carried forward, and back before the first observed row. Where
+    x doesn't change, b is 0."""
 
     def make(f):
         a, b = f[x].to_numpy(dtype=float), f[y].to_numpy(dtype=float)
         at = np.flatnonzero(~np.isnan(a) & ~np.isnan(b))
         if not len(at):
             return {out: np.full(len(a), np.nan)}
-        n = len(at)
-        m = np.zeros((n + 1, n + 1))
-        m[0, 0] = (a[at] ** 2).sum()
-        m[0, 1:] = m[1:, 0] = a[at]
-        d = np.diff(np.eye(n), axis=0)
-        m[1:, 1:] = np.eye(n) + lam * d.T @ d
-        sol = np.linalg.lstsq(m, np.concatenate([[(a[at] * b[at]).sum()], b[at]]), rcond=None)[0]
+        n, xs, ys = len(at), a[at], b[at]
+        smooth = smoothed(np.column_stack([xs, ys]), lam)
+        free = xs @ xs - xs @ smooth[:, 0]  # what of x isn't smooth
+        slope = (xs @ ys - xs @ smooth[:, 1]) / free if free > 1e-12 * max(1.0, xs @ xs) else 0.0
+        s = smooth[:, 1] - slope * smooth[:, 0]
         place = np.clip(np.searchsorted(at, np.arange(len(a)), side="right") - 1, 0, n - 1)
-        return {out: sol[0] * a + sol[1:][place]}
+        return {out: slope * a + s[place]}
 
     return series(df, keys, order, {out: "double"}, make)
 
@@ -205,10 +219,18 @@ def falling(values: Sequence[float], weights: Sequence[float] | None = None) ->
 
 def daily_curves(df: DataFrame, day: str, bucket: str, x: str, y: str, grid: Sequence[float], width: float, blend: float = 1.0, base: Sequence[float] | None = None, start: DataFrame | None = None) -> DataFrame:
     """(bucket, day, curve): kernel curves blended with the day before and, with a base, made so that base + curve falls.
-    Days of other buckets on which a bucket has no rows carry its curve on. start: curves of earlier days to go on from."""
+    From its first day on, days of other buckets on which a bucket has no rows carry its curve on. start: curves of earlier
+    days to go on from."""
     raw = kernel_curves(df, [bucket, day], x, y, grid, width).groupBy(bucket, day).agg(F.array_sort(F.collect_list(F.struct("grid_x", "delta"))).alias("points"))
-    calendar = df.select(day).distinct().join(df.select(bucket).distinct())  # days times buckets, both small dimensions
-    full = calendar.join(raw.select(bucket, day, F.transform("points", lambda p: p["delta"]).alias("raw")), [bucket, day], "left")
+    days = df.select(day).where(F.col(day).isNotNull()).distinct()
+    days = days.withColumn("__rank", F.row_number().over(Window.orderBy(day)))  # one row per day
+    raw = raw.join(days, day).select(bucket, "__rank", F.transform("points", lambda p: p["delta"]).alias("raw"))
+    # Each bucket's own range of days, up to the day before its next curve (or the last day of all), as rows.
+    after = F.lead("__rank").over(Window.partitionBy(bucket).orderBy("__rank"))
+    top = days.agg(F.max("__rank").alias("__top"))
+    spans = raw.withColumn("__next", after).crossJoin(F.broadcast(top)).withColumn("__next", F.coalesce("__next", F.col("__top") + 1))
+    full = spans.withColumn("__day", F.explode(F.sequence("__rank", F.col("__next") - 1)))
+    full = full.select(bucket, F.col("__day").alias("__rank"), F.when(F.col("__day") == F.col("__rank"), F.col("raw")).alias("raw")).join(days, "__rank").drop("__rank")
     if start is None:
         full = full.withColumn("held", F.lit(None).cast("array<double>"))
     else:

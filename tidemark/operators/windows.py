@@ -49,19 +49,6 @@ def simple_returns(df: DataFrame, price: str, keys: Names, order: Names, out: st
     return df.withColumn(out, F.try_divide(F.col(price), F.lag(price).over(over(keys, order))) - 1)
 
 
-def folded(df: DataFrame, keys: Names, order: Names, carry: Names, init: Column, merge, out: str) -> DataFrame:
-    """A sequential fold per series inside the engine: merge(state, row) gives the next state, and out gets every state.
-
-    The series' carried columns are gathered into one ordered array, so that a series must fit a task. Every state is a
-    fold over a prefix, which suits series of up to a few hundred rows; longer ones go through grouped Arrow batches.
-    """
-    row = F.struct(*order, *[c for c in carry if c not in order])
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    states = F.transform(F.sequence(F.lit(1), F.size("__rows")), lambda n: F.aggregate(F.slice("__rows", 1, n), init, merge))
-    zipped = F.explode(F.arrays_zip(F.col("__rows").alias("r"), states.alias("s")))
-    return rows.select(*keys, zipped.alias("z")).select(*keys, "z.r.*", F.col("z.s").alias(out))
-
-
 def ewma(df: DataFrame, value: str, keys: Names, order: Names, com: float, out: str = "ewma") -> DataFrame:
     """Adjusted exponentially weighted mean: weights (1 - a)^distance in rows, a = 1 / (1 + com); missing values only age."""
     return series(df, keys, order, {out: "double"}, lambda f: {out: _ewma(f[value].to_numpy(dtype=float), com)})
@@ -102,22 +89,29 @@ def series(df: DataFrame, keys: Names, order: Names, outputs: dict[str, str], ma
         return f
 
     def run(frames):
-        held = None
+        held: list = []  # batches of the series that is still open
         for f in frames:
             if not len(f):
                 continue
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            new = np.zeros(len(f), dtype=bool)
+            row = pd.concat([held[-1].tail(1), f], ignore_index=True) if held else f
+            new = np.zeros(len(row), dtype=bool)
             for k in keys:
-                before = f[k].shift()
-                new |= ((f[k] != before) & ~(f[k].isna() & before.isna())).to_numpy()
-            new[0] = True
+                before = row[k].shift()
+                new |= ((row[k] != before) & ~(row[k].isna() & before.isna())).to_numpy()
+            new = new[1:] if held else np.append(True, new[1:])
             starts = np.flatnonzero(new)
+            if not len(starts):
+                held.append(f)
+                continue
+            if held:
+                whole = pd.concat([*held, f.iloc[: starts[0]]], ignore_index=True)
+                yield finished(whole, [0], [len(whole)])
             if len(starts) > 1:
-                yield finished(f, starts[:-1], starts[1:])
-            held = f.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield finished(held, [0], [len(held)])
+                yield finished(f.iloc[starts[0] :].reset_index(drop=True), starts[:-1] - starts[0], starts[1:] - starts[0])
+            held = [f.iloc[starts[-1] :].reset_index(drop=True)]
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield finished(whole, [0], [len(whole)])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

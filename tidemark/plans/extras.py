@@ -88,28 +88,16 @@ def align_series(t):
     return both.unionByName(t.customer.select("c_custkey").join(first, "c_custkey", "left_anti").withColumn("first", F.lit(None).cast("date")))
 
 
-@query("""SELECT b, d, round(s / n, 5) AS level FROM (SELECT event_type b, CAST(ts AS DATE) d, sum(value) s, count(*) n FROM events GROUP BY 1, 2)""")
-def daily_levels(t):
-    return t.events.groupBy(F.col("event_type").alias("b"), F.to_date("ts").alias("d")).agg(rounded(F.avg("value"), 5).alias("level"))
-
-
 @query("""SELECT event_id, event_type, round(value, 6) AS value, CAST(ts AS DATE) AS day, CAST(year(ts) AS INTEGER) AS vintage FROM events WHERE event_type IN ('view', 'click')""")
 def role_projection(t):
     rows = filters.filter_frame(t.events, [("event_type", "in", ["view", "click"])])
     return rows.select("event_id", "event_type", rounded("value").alias("value"), F.to_date(dates.midnight("ts")).alias("day"), dates.year_of("ts").alias("vintage"))
 
 
-@query("""SELECT count(*) AS n, CAST(min(event_id) AS BIGINT) AS first FROM events""")
-def fold_counts(t):
-    """Sampling by hash keeps every row on one of two sides."""
-    a = filters.sample_fraction(t.events, 0.3, "event_id")
-    return a.unionByName(t.events.join(a.select("event_id"), "event_id", "left_anti").select(a.columns)).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-
-
-@query("""SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE value END) FILTER (WHERE event_type <> 'error') IS NOT NULL AS any_value, round(coalesce(sum(value) FILTER (WHERE event_type = 'signup' AND value > 480), 0), 4) AS total FROM events GROUP BY 1""")
-def empty_sums(t):
-    big = F.when((F.col("event_type") == "signup") & (F.col("value") > 480), F.col("value"))
-    return t.events.groupBy("user_id").agg(F.max(F.col("event_type") != "error").alias("any_value"), rounded(F.coalesce(F.sum(big), F.lit(0.0)), 4).alias("total"))
+@query("""SELECT event_id, event_type FROM events WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 1288490188""")
+def hash_sample(t):
+    """Three in ten rows by the place of their hashed id."""
+    return filters.sample_fraction(t.events, 0.3, "event_id").select("event_id", "event_type")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((1 + 0.01 * least(l_quantity, 20)) * (2 - l_discount) * 3 * CASE l_returnflag WHEN 'A' THEN 0.5 ELSE 1 END, 6) AS prediction FROM lineitem""")
@@ -122,12 +110,14 @@ def product_scoring(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", rounded(m.column()).alias("prediction"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size, p_retailprice FROM part) SELECT p_partkey, round(0.5 + CASE WHEN p_size BETWEEN 1 AND 25 THEN (p_size - 1) / 24.0 ELSE 1 - (p_size - 25) / 25.0 * 0.5 END, 6) AS pred, round(CASE WHEN p_size BETWEEN 1 AND 25 THEN (p_size - 1) / 24.0 ELSE 1 - (p_size - 25) / 25.0 * 0.5 END, 6) AS s__p_size FROM s""")
+@query("""WITH x AS (SELECT p_partkey, p_type, p_size - 1.0 a, p_size - 25.0 b FROM part),
+m AS (SELECT (73 / 24.0 + 24 * 0.02) / 49 m0, (-74 * 0.02 - 25 / 24.0) / 49 m2),
+c AS (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 0.25 WHEN 'PROMO' THEN -0.5 ELSE 0 END f, CASE WHEN b <= 0 THEN a * (m0 + a * ((3 / 24.0 - 2 * m0) / 24 + a * (m0 - 2 / 24.0) / 576)) ELSE 1 + b * b * ((-0.06 - m2) / 25 + b * (m2 + 0.04) / 625) END s FROM x, m)
+SELECT p_partkey, round(s, 6) AS s__p_size, round(f, 6) AS f__p_type, round(0.5 + s + f, 6) AS pred FROM c""")
 def gam_decompose(t):
-    """Replay of a two-piece curve whose pieces are lines, given as two terms' sum."""
-    size = F.col("p_size").cast("double")
-    line = curves.interpolate(size, [1, 25, 50], [0.0, 1.0, 0.5])
-    return t.part.select("p_partkey", rounded(0.5 + line).alias("pred"), rounded(line).alias("s__p_size"))
+    """Replay of an exported curve and a factor, term by term."""
+    r = gam.Replay([gam.Term("spline", "p_size", [1.0, 25.0, 50.0], [0.0, 1.0, 0.5]), gam.Term("factor", "p_type", levels={"ECONOMY": 0.25, "PROMO": -0.5})], 0.5)
+    return round_all(r.decompose(t.part).select("p_partkey", "s__p_size", "f__p_type", "pred"))
 
 
 @query()
@@ -146,7 +136,9 @@ def daily_kernel_curves(t):
     return smoothing.daily_curves(df, "day", "event_type", "hour", "value", [0.0, 6.0, 12.0, 18.0], 3.0, 0.7)
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, value, CAST(ts AS DATE) d, CAST(event_id % 17 AS DOUBLE) x FROM events), m AS (SELECT d, row_number() OVER (ORDER BY d) rk FROM e GROUP BY 1), r AS (SELECT * FROM e JOIN m USING (d)),
+f AS (SELECT m.rk, m.d run_date, regr_slope(value, x) k, regr_intercept(value, x) c FROM m JOIN r ON r.rk BETWEEN m.rk - 6 AND m.rk WHERE m.rk >= 7 GROUP BY 1, 2)
+SELECT run_date, r.d, event_id, round(c + k * x, 5) AS prediction, round(value - c - k * x, 5) AS residual FROM r JOIN f ON f.rk = r.rk - 1""")
 def rolling_backtest(t):
     import numpy as np
 
@@ -158,22 +150,38 @@ def rolling_backtest(t):
     return round_all(folds.rolling_backtest(df, "d", "value", ["x"], 7, line, "event_id"), 5)
 
 
-@query()
+@query("""SELECT p_partkey, round(1 + CASE p_type WHEN 'ECONOMY' THEN -1 + (p_size - 1) * 2 / 49.0 + 1 WHEN 'PROMO' THEN -1 + (p_size - 1) * 2 / 49.0 + 2 ELSE 0 END, 6) AS pred, round(CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN -1 + (p_size - 1) * 2 / 49.0 ELSE 0 END, 6) AS s__p_size__by__p_type FROM part""")
 def gam_centered(t):
     r = gam.Replay([gam.Term("by", "p_size", by="p_type", groups={k: {"x": [1.0, 50.0], "y": [float(i), float(i + 2)]} for i, k in enumerate(("ECONOMY", "PROMO"))})], 1.0).centered()
-    return round_all(r.decompose(t.part).select("p_partkey", "pred"))
+    return round_all(r.decompose(t.part).select("p_partkey", "pred", "s__p_size__by__p_type"))
 
 
-@query()
+@query("""WITH r AS (SELECT l_quantity > 48 AS event, CAST('0x' || substr(md5('42:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey), 1, 8) AS BIGINT) AS place, l_orderkey, l_linenumber, l_partkey FROM lineitem),
+w AS (SELECT least(1.0, CAST(count(*) FILTER (event) AS DOUBLE) * 0.5 / 0.5 / count(*) FILTER (NOT event)) w FROM r) SELECT l_orderkey, l_linenumber, l_partkey, event FROM r, w WHERE event OR place < floor(w * 4294967296)""")
 def case_control(t):
-    kept, _ = filters.case_control(t.lineitem.withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_partkey")), F.col("l_quantity") > 48, 0.5, "key")
-    return kept.groupBy((F.col("l_quantity") > 48).alias("event")).agg(F.count("*").alias("n"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    kept, _ = filters.case_control(t.lineitem.withColumn("key", key), F.col("l_quantity") > 48, 0.5, "key")
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") > 48).alias("event"))
 
 
-@query()
+@query("""WITH tr AS (SELECT user_id, event_type, ts, event_id, value AS price, CASE WHEN event_id % 7 = 6 THEN 0 WHEN event_id % 7 < 3 THEN 1 ELSE -1 END::DOUBLE AS shares FROM events),
+h AS (SELECT *, sum(shares) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) held FROM tr), e AS (SELECT *, coalesce(sum(CASE WHEN held = 0 AND shares <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ep FROM h),
+c AS (SELECT *, CASE WHEN held = 0 THEN 0.0 ELSE sum(shares * price) OVER (PARTITION BY user_id, event_type, ep ORDER BY ts, event_id) END AS cost, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) i FROM e)
+SELECT user_id, round(sum(held * price), 4) AS market_value, round(sum(held * price - cost), 4) AS pnl, CAST(count(*) FILTER (held <> 0) AS BIGINT) AS open_positions FROM c WHERE i = 1 GROUP BY 1""")
 def account_totals(t):
-    n = F.col("event_id")
-    q = F.when(F.col("event_type").isin("purchase", "view"), 1 + n % 3).otherwise(-1 - n % 2).cast("double")
+    n = F.col("event_id") % 7
+    q = F.when(n == 6, 0).when(n < 3, 1).otherwise(-1).cast("double")
     rows = t.events.select("user_id", "event_type", "ts", "event_id", F.col("value").alias("price"), q.alias("shares"))
-    led = ledger.positions(rows, ["user_id", "event_type"], O)
-    return round_all(ledger.totals(led, U, "event_type", O), 4)
+    return round_all(ledger.totals(ledger.positions(rows, ["user_id", "event_type"], O), U, "event_type", O), 4)
+
+
+@query("""WITH s AS (SELECT event_type, stddev_pop(value) FILTER (event_id % 10 < 4) lo, stddev_pop(value) FILTER (event_id % 10 >= 4) hi FROM events GROUP BY 1)
+SELECT event_id, coalesce(lo > hi, false) AS flipped, round(CASE WHEN lo > hi THEN 1 - event_id % 10 / 10.0 ELSE event_id % 10 / 10.0 END, 6) AS p FROM events JOIN s USING (event_type)""")
+def two_state_flip(t):
+    df = t.events.withColumn("p", (F.col("event_id") % 10) / 10.0)
+    return aggs.flip_two_states(df, "value", "p", ["event_type"], 0.4).select("event_id", "flipped", rounded("p").alias("p"))
+
+
+@query("""WITH s AS (SELECT event_type, event_id % 3 AS state, stddev_pop(value) sd, avg(value) m FROM events GROUP BY 1, 2), o AS (SELECT event_type, m <= lag(m) OVER (PARTITION BY event_type ORDER BY sd, state) ok FROM s) SELECT event_type, bool_and(coalesce(ok, true)) AS agrees FROM o GROUP BY 1""")
+def state_order(t):
+    return aggs.order_agrees(t.events.withColumn("state", F.col("event_id") % 3), "value", "value", "state", ["event_type"])

@@ -226,10 +226,11 @@ def number_formats(t):
     return t.customer.select("c_custkey", text.number_format("c_acctbal").alias("money"), text.number_format(F.col("c_acctbal") / 10000, 4, False, True).alias("pct"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(to_json({'e': event_id, 'v': value}), '$.v') AS DOUBLE) AS v FROM events""")
-def json_roundtrip(t):
-    made = t.events.withColumn("js", F.to_json(F.struct(F.col("event_id").alias("e"), F.col("value").alias("v"))))
-    return made.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.from_json("js", "e bigint, v double")["v"].alias("v"))
+@query("""SELECT event_id, to_json({'event_id': event_id, 'safe': CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END, 'type': event_type}) AS js, value AS strict FROM events""")
+def json_rows(t):
+    v = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    df = t.events.withColumn("safe", text.json_safe(v)).withColumn("type", F.col("event_type"))
+    return df.select("event_id", text.to_json("event_id", "safe", "type").alias("js"), text.strict_number("value").alias("strict"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(least(l_quantity, 10.0), 6) AS r0, round(least(greatest(l_quantity, 10), 30) - 10, 6) AS r1, round(greatest(l_quantity, 30) - 30, 6) AS r2, CAST(l_quantity BETWEEN 10 AND 30 AS DOUBLE) AS d1 FROM lineitem""")

@@ -337,10 +337,13 @@ def ou_params(t):
     return out.select("user_id", rounded("theta").alias("theta"), rounded("mu", 5).alias("mu"), rounded("sigma", 5).alias("sigma"), "n")
 
 
-@query("""SELECT user_id, event_id, round(CASE WHEN n = 20 THEN s END, 5) AS slope FROM (SELECT user_id, event_id, regr_slope(value, x) OVER w s, count(*) OVER w n FROM (SELECT *, CAST(event_id % 11 AS DOUBLE) x FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING))""")
+@query("""WITH f AS (SELECT user_id, event_id, ts, value y, sqrt(1 + event_id % 11) x FROM events), r AS (SELECT *, regr_slope(y, x) OVER w s, regr_intercept(y, x) OVER w c, regr_r2(y, x) OVER w q, count(*) OVER w n FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING))
+SELECT user_id, event_id, round(CASE WHEN n = 20 THEN s END, 7) AS slope, round(CASE WHEN n = 20 THEN c END, 7) AS intercept, round(CASE WHEN n = 20 THEN q END, 7) AS r2, round(CASE WHEN n = 20 THEN y - c - s * x END, 7) AS residual FROM r""")
 def rolling_regression(t):
-    df = _series(t).withColumn("x", (F.col("event_id") % 11).cast("double"))
-    return round_all(windows.rolling_regression(df, "value", "x", U, O, 19).select("user_id", "event_id", "slope"), 5)
+    """Irrational x, so that no result is a decimal tie that the order of sums would decide."""
+    df = _series(t).withColumn("x", F.sqrt(1 + F.col("event_id") % 11))
+    out = windows.rolling_regression(df, "value", "x", U, O, 19)
+    return round_all(out.select("user_id", "event_id", "slope", "intercept", "r2", "residual"), 7)
 
 
 @query("""WITH w AS (SELECT CAST(o_orderdate AS DATE) d, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1e6 a, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 1e6 b FROM orders GROUP BY 1), r AS (SELECT d, a, CASE WHEN a > b THEN a + 0.01 ELSE b END b2 FROM w),
@@ -373,10 +376,12 @@ def session_windows(t):
 # --- fitted models: no SQL form; tested by invariants and brute force ----------------------------------------------------
 
 
-@query()
+@query("""WITH m AS (SELECT avg(p_size) ma, stddev_pop(p_size) sa, avg(sqrt(p_partkey)) mb, stddev_pop(sqrt(p_partkey)) sb FROM part WHERE p_partkey % 20 <> 0),
+z AS (SELECT p_partkey k, p_retailprice y, (p_size - ma) / sa * sqrt(0.5) a, (sqrt(p_partkey) - mb) / sb * sqrt(0.5) b FROM part, m), n AS (SELECT q.k, p.y, sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2) d, row_number() OVER (PARTITION BY q.k ORDER BY sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2), p.k) i FROM z q JOIN z p ON q.k % 20 = 0 AND p.k % 20 <> 0)
+SELECT k AS p_partkey, round(sum(y / d) / sum(1 / d), 4) AS prediction FROM n WHERE i <= 5 GROUP BY 1""")
 def knn_predict(t):
-    parts = t.part.withColumn("x", F.col("p_size").cast("double"))
-    m = neighbors.Neighbors(["x", "p_partkey"], "p_retailprice", 5, weights="distance").fit(parts, "p_partkey")
+    parts = t.part.withColumn("x", F.col("p_size").cast("double")).withColumn("z", F.sqrt("p_partkey"))
+    m = neighbors.Neighbors(["x", "z"], "p_retailprice", 5, weights="distance").fit(parts.where("p_partkey % 20 <> 0"), "p_partkey")
     return round_all(m.predict(parts.where("p_partkey % 20 = 0"), "p_partkey"), 4)
 
 
@@ -400,7 +405,10 @@ def gam_fit(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", rounded(m.column(), 2).alias("prediction"))
 
 
-@query()
+@query("""WITH d AS (SELECT event_type, CAST(ts AS DATE) d, avg(value) a, CAST(count(*) AS DOUBLE) b FROM events GROUP BY 1, 2), l AS (SELECT a, b, lag(a) OVER w x, lag(b) OVER w z FROM d WINDOW w AS (PARTITION BY event_type ORDER BY d)),
+c AS (SELECT avg(a) ma, avg(b) mb, avg(x) mx, avg(z) mz, var_pop(x) vx, var_pop(z) vz, covar_pop(x, z) xz, covar_pop(a, x) ax, covar_pop(a, z) az, covar_pop(b, x) bx, covar_pop(b, z) bz FROM l WHERE x IS NOT NULL),
+k AS (SELECT *, (ax * vz - az * xz) / (vx * vz - xz * xz) ka, (az * vx - ax * xz) / (vx * vz - xz * xz) la, (bx * vz - bz * xz) / (vx * vz - xz * xz) kb, (bz * vx - bx * xz) / (vx * vz - xz * xz) lb FROM c)
+SELECT term, series, round(v, 5) AS coefficient FROM (SELECT 0 AS term, 0 AS series, ma - ka * mx - la * mz AS v FROM k UNION ALL SELECT 0, 1, mb - kb * mx - lb * mz FROM k UNION ALL SELECT 1, 0, ka FROM k UNION ALL SELECT 1, 1, kb FROM k UNION ALL SELECT 2, 0, la FROM k UNION ALL SELECT 2, 1, lb FROM k)""")
 def var_coefficients(t):
     daily = t.events.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.avg("value").alias("a"), F.count("*").cast("double").alias("b"))
     m = tsa.vector_autoregression(daily, ["a", "b"], ["event_type"], ["d"], 1)
@@ -408,12 +416,23 @@ def var_coefficients(t):
     return t.spark.createDataFrame(rows, "term int, series int, coefficient double")
 
 
-@query()
+@query(f"""WITH d AS (SELECT user_id, ts, event_id, value - avg(value) OVER (PARTITION BY user_id) d FROM events), l AS (SELECT user_id, d, lag(d) {_W}) d1, lag(d, 2) {_W}) d2, lag(d, 3) {_W}) d3 FROM d),
+s AS (SELECT user_id, count(*) n, sum(d * d) v, sum(d * d1) c1, sum(d * d2) c2, sum(d * d3) c3 FROM l GROUP BY 1), r AS (SELECT user_id, n * (n + 2.0) k, (c1 / v) ** 2 / (n - 1) q1, (c2 / v) ** 2 / (n - 2) q2, (c3 / v) ** 2 / (n - 3) q3 FROM s)
+SELECT user_id, 1 AS lag, round(k * q1, 5) AS q FROM r UNION ALL SELECT user_id, 2, round(k * (q1 + q2), 5) FROM r UNION ALL SELECT user_id, 3, round(k * (q1 + q2 + q3), 5) FROM r""")
 def ljung_box(t):
-    return round_all(tsa.ljung_box(_series(t), "value", U, O, 3), 5)
+    return round_all(tsa.ljung_box(_series(t), "value", U, O, 3).select("user_id", "lag", "q"), 5)
 
 
-@query()
+def _smoother() -> str:
+    """SQL of the least-squares parabola of seven rows at each of them: the middle one, or the end window's."""
+    hat = lambda i, j: 1 / 7 + (i - 3) * (j - 3) / 28 + ((i - 3) ** 2 - 4) * ((j - 3) ** 2 - 4) / 84
+    at = lambda i, place, frame: " + ".join(f"{hat(i, j)!r} * nth_value(value, {place}{j + 1}) OVER {frame}" for j in range(7))
+    cases = " ".join([*[f"WHEN i = {k + 1} THEN {at(k, '', 'h')}" for k in range(3)], *[f"WHEN n - i = {k} THEN {at(6 - k, 'n - 7 + ', 'h')}" for k in range(3)]])
+    return f"""WITH e AS (SELECT *, row_number() {_W}) i, count(*) OVER (PARTITION BY user_id) n FROM events) SELECT event_id, round(CASE WHEN n < 7 THEN NULL {cases} ELSE {at(3, '', 'm')} END, 6) AS smooth FROM e
+WINDOW h AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), m AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
+
+
+@query(_smoother())
 def savgol(t):
     return round_all(smoothing.savgol(_series(t).drop("event_type"), "value", U, O, 7, 2).select("event_id", "smooth"))
 
