@@ -41,15 +41,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Deletes the scratch tables of this driver, once their results are written; how many there were."""
+def scratch_count() -> int:
+    """Scratch tables of this driver that have not been deleted."""
+    return len(_MADE)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the scratch tables of this driver, once their results are written, but for the first since and the newest
+    keep of them; how many there were."""
     gone = 0
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for folder in _MADE[since : len(_MADE) - keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        _MADE.remove(folder)
     return gone
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no column is called so."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
     for b in batches:
@@ -166,11 +181,11 @@ def likely_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     bits = min(MOST_BITS, max(LEAST_BITS, next_power(KEY_BITS * keys.count())))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     own = keys.select(place(F.col(keys.columns[0])).alias("p"))
-    maps = own.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
-    at = F.bitmap_bit_position(place(F.col(column)))
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    held = df.withColumns({"__bucket": F.bitmap_bucket_number(place(F.col(column))), "__at": at}).join(F.broadcast(maps), "__bucket")
-    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*df.columns)
+    bucket, at, bits_ = (free_name(x, df.columns) for x in ("bucket", "at", "bits"))
+    maps = own.groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits_))
+    byte = F.conv(F.hex(F.expr(f"substring({bits_}, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = df.withColumns({bucket: F.bitmap_bucket_number(place(F.col(column))), at: F.bitmap_bit_position(place(F.col(column)))}).join(F.broadcast(maps), bucket)
+    return held.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0).select(*df.columns)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

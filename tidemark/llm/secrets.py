@@ -55,19 +55,21 @@ RULES = BASE + ADDED
 LEDGER = "blob string, rule string, spans array<struct<start:long,end:long>>"
 
 
-def versions(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> DataFrame:
-    """(path, blob, hits): each version's address and the rules whose trigger it holds. Null text is the empty blob."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col(path).alias("path"), F.sha2(text.cast("binary"), 256).alias("blob"), _hits(text, rules).alias("hits"))
-
-
 def _hits(text: Column, rules: tuple[Rule, ...]) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(r.trigger), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
 
 
 def update(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(versions, new ledger rows). ledger: what earlier scans returned, or None before the first."""
-    seen = common.materialize(versions(docs, rules, path), "versions")
+    """(versions, new ledger rows). ledger: what earlier scans returned, or None before the first. Each text is hashed and
+    tested for triggers once; only texts with a trigger are written beside their address."""
+    marked = docs.select(F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hits", _hits(F.col("text"), rules))
+    address = F.sha2(F.col("text").cast("binary"), 256).alias("blob")
+    seen = common.materialize(marked.select("path", address, "hits", F.when(F.size("hits") > 0, F.col("text")).alias("text")), "versions")
+    return seen.select("path", "blob", "hits"), scan_unseen(seen, ledger, rules)
+
+
+def scan_unseen(seen: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger rows of the pairs of blob and rule version that the ledger lacks; seen: blob, hits, text where hits are."""
     blobs = seen.groupBy("blob").agg(F.max("hits").alias("hits"))
     pairs = blobs.select("blob", F.explode(F.array(*[F.lit(r.name) for r in rules])).alias("rule"), "hits")
     if ledger is not None:
@@ -76,8 +78,7 @@ def update(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
     pairs = common.materialize(pairs, "unseen") if ledger is not None else pairs
     none = F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")
     todo = pairs.where("hit").groupBy("blob").agg(F.collect_set("rule").alias("rules"))
-    text = F.col("text")
-    held = docs.where(F.size(_hits(text, rules)) > 0).select(F.sha2(text.cast("binary"), 256).alias("blob"), text).dropDuplicates(["blob"])
+    held = seen.where(F.size("hits") > 0).select("blob", "text").dropDuplicates(["blob"])
     by_name = {r.name: r for r in rules}
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,9 +87,7 @@ def update(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
             yield pd.DataFrame(rows, columns=["blob", "rule", "spans"])
 
     found = todo.join(held, "blob").select("blob", "text", "rules").mapInPandas(scan, LEDGER)
-    new = pairs.where("not hit").select("blob", "rule", none.alias("spans")).unionByName(found)
-    new = common.materialize(new, "ledger")
-    return seen, new
+    return common.materialize(pairs.where("not hit").select("blob", "rule", none.alias("spans")).unionByName(found), "ledger")
 
 
 def findings(seen: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -110,23 +109,25 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of every rule replaced by mark and n_chars brought up to date; other columns stay."""
-    plain = docs.withColumn("__hit", F.size(_hits(F.coalesce("text", F.lit("")), rules)) > 0)
-    hit = plain.where("__hit").drop("__hit").withColumn("__blob", F.sha2(F.col("text").cast("binary"), 256))
-    seen, new = update(hit, None, rules)
-    by_blob = findings(seen.select("blob").distinct().withColumn("path", F.lit(0)), new, rules).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    out = hit.join(by_blob, "__blob", "left")
-
-    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """docs with every span of every rule replaced by mark and n_chars brought up to date; other columns, whatever their
+    names, and rows without findings stay as they are. Null text stays null; an empty table gives an empty table."""
+    names = docs.columns
+    hits, blob, found, clean = (common.free_name(x, names) for x in ("hits", "blob", "found", "clean"))
+    # Written with its hits, so that the triggers are tested once.
+    marked = common.materialize(docs.withColumn(hits, _hits(F.coalesce("text", F.lit("")), rules)), "marked")
+    hit = marked.where(F.size(hits) > 0).withColumn(blob, F.sha2(F.col("text").cast("binary"), 256))
+    seen = hit.select(F.lit(0).alias("path"), F.col(blob).alias("blob"), F.col(hits).alias("hits"), "text")
+    by_blob = findings(seen.select("path", "blob").distinct(), scan_unseen(seen, None, rules), rules)
+    out = hit.drop(hits).join(by_blob.select(F.col("blob").alias(blob), F.col("found").alias(found)), blob, "left")
+
+    def replace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["__clean"] = [_replaced(t, s, mark) for t, s in zip(f["text"], f["__found"], strict=True)]
-            yield f
+            yield f.assign(**{clean: [_replaced(t, s, mark) for t, s in zip(f["text"], f[found], strict=True)]})
 
-    names = docs.columns
-    out = out.mapInPandas(clean, T.StructType([*out.schema.fields, T.StructField("__clean", T.StringType())])).withColumn("text", F.col("__clean"))
+    out = out.mapInPandas(replace, T.StructType([*out.schema.fields, T.StructField(clean, T.StringType())])).withColumn("text", F.col(clean))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.where("not __hit").select(*names).unionByName(out.select(*names))
+    return marked.where(F.size(hits) == 0).select(*names).unionByName(out.select(*names))
 
 
 def _replaced(text: str, spans, mark: str) -> str:
