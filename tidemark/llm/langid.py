@@ -38,8 +38,9 @@ class Model:
 
 
 def _grams(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each 3-gram and 4-gram start, whether it counts, text ends) of a block; lower case, letters only."""
-    b = np.frombuffer(b"  ".join(run) + b"    ", dtype=np.uint8).astype(np.uint32)
+    """(bucket of each 3-gram and 4-gram start, whether it counts, text ends) of a block; lower case, letters only. Every
+    text has a blank of its own on both sides, so that no gram that counts reaches into another text."""
+    b = np.frombuffer(b" " + b"  ".join(run) + b"    ", dtype=np.uint8).astype(np.uint32)
     n = len(b) - 4
     h3 = b[:n] * np.uint32(0x9E3779B1) + b[1 : n + 1] * np.uint32(0x85EBCA6B) + b[2 : n + 2] * np.uint32(0xC2B2AE35)
     h4 = h3 + b[3 : n + 3] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)
@@ -89,7 +90,9 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 6, rate: float = 0.2, lost: float = 0.002, seed: int = 7) -> Model | None:
-    """A model from rows of docs with a language; None if there is none. lost: share of right held-back rows rejected."""
+    """A model from rows of docs with a language; None if there is none. lost: share of right held-back rows that the
+    threshold may reject; it is 1.5 times the chance of one language at most, so that a model that is sure of everything
+    still keeps texts that it only leans on."""
     got = sample(docs, rows).collect()  # bounded by rows
     got = [(r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got if r["buckets"]]
     got.sort(key=lambda x: (x[0], len(x[1]), x[1][:8].tolist()))
@@ -155,12 +158,13 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [model.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, p.max(1) if len(z) else 0.0, 0.0)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of each whole text, and the columns named in keep.
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of each whole text.
 
-    Null text, or text without a letter: und, 0, rejected. Without a model every text is und. Repeated rows stay.
+    Null text, or text without a letter: und, 0, rejected. Without a model every text is und. Of languages that score
+    alike the first by name wins. Repeated rows stay; an empty table gives an empty table; other columns are ignored.
     """
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(k) for k in keep if k not in ("doc_id", "text")])
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_slices(batches):
@@ -173,9 +177,9 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Rows of docs, as they are, whose text the model doesn't reject."""
+    """Rows of docs, as they are, whose text the model doesn't reject; without a model nothing is judged and all stay."""
     if model is None:
-        return docs.limit(0)
+        return docs
     at = docs.columns.index("text")
     names = docs.columns
 
