@@ -113,7 +113,9 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield _batch([_row(d, t, digest(t.encode()), a, digest(a.encode())) for d, t, a in zip(b.column("doc_id").to_pylist(), common.texts_of(b.column("text")), common.texts_of(b.column("after")), strict=True)], EDITED)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    # The text's beginning is part of the range, so that rows of one id (or none) spread over tasks.
+    begins = F.substring("text", 1, 32).asc_nulls_first()
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").desc_nulls_last(), begins).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     done = common.materialize(ordered.mapInArrow(rows, schema), "rows")
     edge = done.where("kind > 0")
     pids = sorted(r[0] for r in edge.where("kind = 1").select("pid").collect())  # one number a task
