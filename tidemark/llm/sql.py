@@ -8,28 +8,35 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def url_filter(rules=urls.RULES, damping: float = urls.DAMPING, rounds: int = urls.ROUNDS, threshold: float = urls.THRESHOLD) -> str:
-    """Rules, then both propagations with their rounds written out."""
+    """Rules, then the propagations with their rounds written out."""
     fit = " ".join(
         f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r} {v}'" for r, v in sorted(rules, key=lambda r: (-len(r[0]), r[0]))
     )
+    seeds = ", ".join(f"CASE WHEN hit LIKE '% {v}' THEN 1.0 ELSE 0.0 END AS {v}" for v in ("allow", "block"))
     parts = [
         f"h AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
         f"j AS (SELECT *, CASE {fit} END AS hit FROM h)",
-        "s AS (SELECT host, avg(CASE WHEN hit LIKE '% allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN hit LIKE '% block' THEN 1.0 ELSE 0.0 END) AS block FROM j WHERE host <> '' GROUP BY 1)",
+        "o AS (SELECT host, avg(CASE WHEN hit LIKE '% allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN hit LIKE '% block' THEN 1.0 ELSE 0.0 END) AS block FROM j WHERE host <> '' GROUP BY 1)",
         f"""l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s>]+)', 1)), '{_UP}', '{_LOW}') AS dst FROM h WHERE host <> '')""",
         "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY 1, 2)",
+        f"g AS (SELECT host, CASE {fit} END AS hit FROM (SELECT DISTINCT dst AS host, '/' AS path FROM e) WHERE host NOT IN (SELECT host FROM o))",
+        f"s AS (SELECT * FROM o UNION ALL SELECT host, {seeds} FROM g WHERE hit IS NOT NULL)",
         "ea AS (SELECT src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS w FROM e)",
         "eb AS (SELECT dst AS a, src AS b, n / sum(n) OVER (PARTITION BY dst) AS w FROM e)",
+        "ec AS (SELECT src, dst, n / (1 + sum(n) OVER (PARTITION BY src)) AS w FROM e)",
+        "c0 AS (SELECT host, block AS seed, block / (1 + coalesce((SELECT sum(n) FROM e WHERE src = host), 0)) AS got FROM s)",
     ]
     for kind, seed in (("a", "allow"), ("b", "block")):
         parts.append(f"{kind}0 AS (SELECT host, {seed} * {1 - damping} AS mass FROM s)")
         for k in range(rounds):
             parts.append(f"{kind}{k + 1} AS (SELECT host, sum(mass) AS mass FROM (SELECT * FROM {kind}0 UNION ALL SELECT b, sum(mass * w) * {damping} FROM {kind}{k} JOIN e{kind} ON host = a GROUP BY b) GROUP BY host)")
-    bad = f"d >= {threshold * (1 - damping)} AND d > t"
+    for k in range(rounds):
+        parts.append(f"c{k + 1} AS (SELECT host, max(seed) AS seed, sum(got) AS got FROM (SELECT * FROM c0 UNION ALL SELECT src, 0.0, sum(greatest(seed, got * {damping}) * w) FROM c{k} JOIN ec ON dst = host GROUP BY src) GROUP BY host)")
+    bad = f"u >= {threshold} - 1e-9 AND u * {1 - damping} > t"
     return (
         "WITH "
         + ", ".join(parts)
-        + f", m AS (SELECT j.*, coalesce(x.mass, 0) AS t, coalesce(y.mass, 0) AS d FROM j LEFT JOIN a{rounds} x ON x.host = j.host LEFT JOIN b{rounds} y ON y.host = j.host)"
+        + f", m AS (SELECT j.*, coalesce(x.mass, 0) AS t, coalesce(y.mass, 0) AS d, coalesce(greatest(z.seed, z.got), 0) AS u FROM j LEFT JOIN a{rounds} x ON x.host = j.host LEFT JOIN b{rounds} y ON y.host = j.host LEFT JOIN c{rounds} z ON z.host = j.host)"
         + f" SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 2) WHEN {bad} THEN 'block' ELSE 'allow' END AS verdict, round(CAST(t AS DOUBLE), 9) AS trust, round(CAST(d AS DOUBLE), 9) AS distrust FROM m"
     )
 

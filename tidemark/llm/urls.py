@@ -59,7 +59,7 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     Mass of hosts without outgoing edges isn't handed on. Each round is one join on the sending host and one
     pre-aggregated sum by the receiving host.
     """
-    total = edges.groupBy("a").agg(F.sum("n").alias("total"))
+    total = common.materialize(edges.groupBy("a").agg(F.sum("n").alias("total")), "totals")  # so that hubs split in the join
     share = common.materialize(edges.join(total, "a").select("a", "b", (F.col("n") / F.col("total")).alias("w")), "shares")
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("mass"))
     now = start
@@ -77,7 +77,7 @@ def suspicion(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     A link counts what its target hands on: its seed or, if larger, its own suspicion times damping. Each host divides by
     its own links only, so that neither the links into a blocked host nor the size of the graph change the figure.
     """
-    total = edges.groupBy("src").agg(F.sum("n").alias("total"))
+    total = common.materialize(edges.groupBy("src").agg(F.sum("n").alias("total")), "totals")  # so that hubs split in the join
     share = common.materialize(edges.join(total, "src").select("src", "dst", (F.col("n") / (1 + F.col("total"))).alias("w")), "links")
     start = seeds.join(total.withColumnRenamed("src", "host"), "host", "left").select("host", "seed", (F.col("seed") / (1 + F.coalesce("total", F.lit(0)))).alias("got"))
     start = common.materialize(start, "start")
@@ -113,6 +113,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
         distrust = spread(seeds.select("host", F.col("block").alias("seed")), against, damping, rounds).withColumnRenamed("mass", "distrust")
         suspect = suspicion(seeds.select("host", F.col("block").alias("seed")), edges, damping, rounds)
         scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").join(suspect, "host", "left").fillna(0.0, ["trust", "distrust", "suspicion"])
+        scores = common.materialize(scores, "scores")  # so that a host of many pages splits in the join
     bad = (F.col("suspicion") >= threshold - 1e-9) & (F.col("suspicion") * (1 - damping) > F.col("trust"))
     out = rows.join(scores, "host", "left")
     verdict = F.coalesce("verdict", F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow"))
