@@ -8,6 +8,7 @@ bin from their rank among pieces of equal length, which is a prefix sum over (ta
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,8 +30,24 @@ _RANK_BITS = 44
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
+# The parts of a tokenizer file under which words can be encoded on their own.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
+def _by_words(path: str) -> bool:
+    """Whether a tokenizer file folds white space, lower-cases, splits words as PRE_TOKENS and marks their ends."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    norm, pre, model = (t.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    splits = pre.get("pretokenizers") or [{}]
+    return tuple(x.get("type") for x in norm.get("normalizers", ())) == NORMALIZERS and splits[0].get("pattern") == {"Regex": PRE_TOKENS} and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and model.get("type") == "BPE" and model.get("end_of_word_suffix") == WORD_END
+
+
 class WordEncoder:
-    """Ids of whole texts; words between white space are encoded once and kept, since pre-tokens never span white space."""
+    """Ids of whole texts; words between white space are encoded once and kept, since pre-tokens never span white space.
+    A tokenizer of another kind encodes every text as a whole."""
 
     def __init__(self, path: str):
         common.cpu_quiet()
@@ -39,6 +56,9 @@ class WordEncoder:
         self.core = Tokenizer.from_file(path)
         self.core.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        self.by_words = _by_words(path)
+        if not self.by_words:
+            return
         self.merge = _merger(self.core.get_vocab(with_added_tokens=False))
         self.marks = {c: self.plain(c) for c in ".,"}
 
@@ -61,6 +81,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return [self.plain(t) for t in texts]
         kept = self.kept
         split = [None if _odd_space(t) else t.split() for t in texts]
         new = list({w for words in split if words for w in words if w not in kept})
