@@ -36,6 +36,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mine = common.scratch_count()
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), name)
+        common.clear_scratch(spark, since=mine, keep=1)  # a stage's own tables aren't needed beyond it
     return STAGES[-1][1](spark, docs, sf_dir)
