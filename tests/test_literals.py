@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import curves, dates, nulls, text
-from tidemark.models import fits, gam, jump, linear, neighbors, product, spread, tsa
+from tidemark.models import errors, fits, gam, jump, linear, neighbors, product, spread, tsa
 from tidemark.operators import aggs, binning, filters, folds, joins, ledger, sets, smoothing, sorting, windows
 from tidemark.sources import export, identifiers, readers, registry
 from tidemark.streaming import state
@@ -722,3 +722,41 @@ def test_series_over_small_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
     assert got == {(g, i): i * (i + 1) / 2 for g, n in ((1, 10), (2, 1), (3, 2), (None, 7), (4, 3)) for i in range(n)}
+
+
+def test_joint_product_fit_and_curves(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float((1 + 0.5 * a) * (2 - b) + rng.normal(scale=0.01))) for a, b in rng.uniform(size=(400, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    block = lambda c: product.Block(c, lambda: [F.lit(1.0), F.col(c)])
+    m = product.ProductModel([block("a"), block("b")]).fit_jointly(df, "y")
+    assert m.history[-1] < 2e-4
+    grid = spark.createDataFrame([(0.0,), (1.0,)], "a double")
+    at = [r["effect"] for r in m.feature_curve(grid, "a").orderBy("a").collect()]
+    assert abs(at[1] / at[0] - 1.5) < 0.02 and m.groups() == {"a": ["a_0", "a_1"], "b": ["b_0", "b_1"]}
+    assert m.expanded(df).select("a_0", "a_1", "b_1").first()["a_0"] == 1.0
+
+
+def test_errors_of_fits(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(500), rng.normal(size=500)])
+    y = (rng.uniform(size=500) < 1 / (1 + np.exp(-(x @ [0.3, -1.0])))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "one double, x double, y double")
+    beta, se = errors.logistic(df, "y", ["one", "x"])
+    loss = lambda v: -float((y * (x @ v) - np.log1p(np.exp(x @ v))).sum())
+    assert np.allclose(np.sqrt(np.diag(np.linalg.inv(errors.numerical_hessian(loss, beta)))), se, rtol=1e-3)
+    assert np.allclose(x.T @ (y - 1 / (1 + np.exp(-(x @ beta)))), 0, atol=1e-6)
+    p = np.array([0.5, 0.05])
+    z = x @ p
+    entropy = lambda v: -float((y * np.log(x @ v) + (1 - y) * np.log(1 - x @ v)).sum())
+    assert ((z > 0) & (z < 1)).all()
+    assert np.allclose(np.sqrt(np.diag(np.linalg.inv(errors.numerical_hessian(entropy, p)))), errors.cross_entropy_errors(df, "y", ["one", "x"], p), rtol=1e-3)
+    assert np.isclose((x @ errors.mean_matched(df, ["one", "x"], 0.7)).mean(), 0.7)
+
+
+def test_jump_states_under_given_centroids(spark):
+    v = [0.0, 0.1, 0.9, 0.0, 5.0, 5.2, 4.9, 0.2, 5.1, 5.0]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "g int, t int, x double")
+    states = lambda pen, c=False: [r["state"] for r in jump.predict_states(df, ["g"], ["t"], ["x"], [[0.0], [5.0]], pen, c).orderBy("t").collect()]
+    assert states(0.1) == [0, 0, 0, 0, 1, 1, 1, 0, 1, 1]
+    assert states(20.0) == [0, 0, 0, 0, 1, 1, 1, 1, 1, 1] == states(40.0, True)

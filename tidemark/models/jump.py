@@ -121,6 +121,29 @@ def jump_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
     return slim.join(best, list(keys)).groupBy(*keys).applyInPandas(states, schema)
 
 
+def predict_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str], centroids: Sequence[Sequence[float]], penalty: float = 1.0, continuous: bool = False, n: int = 400) -> DataFrame:
+    """(keys, order, features, state[, p_0..]) of new rows under given centroids: one best path a series, nothing fitted."""
+    theta = np.asarray(centroids, dtype=float)
+    k = len(theta)
+    grid = candidates(k, n) if continuous else np.eye(k)
+    move = penalty / 4 * np.abs(grid[:, None, :] - grid[None, :, :]).sum(2) ** 2 if continuous else jump_penalty(k, penalty)
+    cols = list(dict.fromkeys([*keys, *order, *features]))
+    slim = df.select(*cols).dropna(subset=list(features))
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    probs = [f"p_{i}" for i in range(k)] if continuous else []
+
+    def states(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(list(order))
+        path, _ = best_path(loss_matrix(f[list(features)].to_numpy(dtype=float), theta) @ grid.T, move)
+        out = f[cols].copy()
+        out["state"] = grid[path].argmax(1).astype("int32")
+        for i, p in enumerate(probs):
+            out[p] = grid[path][:, i]
+        return out
+
+    return slim.groupBy(*keys).applyInPandas(states, ", ".join([*[f"`{c}` {kinds[c]}" for c in cols], "state int", *[f"{p} double" for p in probs]]))
+
+
 def stationary(p: np.ndarray) -> np.ndarray:
     """The distribution that a transition matrix leaves unchanged."""
     n = len(p)

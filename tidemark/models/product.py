@@ -95,6 +95,53 @@ class ProductModel:
             self.scalar, self.coefficients = kept
         return self
 
+    def fit_jointly(self, df: DataFrame, y: str, weight: str | None = None, rounds: int = 30, ftol: float = 1e-10) -> ProductModel:
+        """All coefficients at once by damped Gauss-Newton steps on the squared error, from the present coefficients or one
+        block round. A step is one aggregate of the products of the Jacobian's columns, which are block columns times the
+        other blocks; blocks with categories of their own aren't taken."""
+        if self.loss != "mse" or any(b.by for b in self.blocks):
+            raise ValueError("only squared error and blocks without categories")
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not self.coefficients:
+                self._fit(df, y, weight, 1, 5, ftol)
+            w = F.col(weight).cast("double") if weight else F.lit(1.0)
+            best, damping = float(df.agg(self._loss(y, w)).first()[0]), 1e-3
+            for _ in range(rounds):
+                jacobian = [x * self.column(without=b.name) for b in self.blocks for x in b.basis()]
+                g, _n = gram(df, [*jacobian, F.col(y) - self.column()], w)
+                p, kept = len(jacobian), dict(self.coefficients)
+                step = solve(g[:p, :p] + np.diag(damping * np.diag(g)[:p] + RIDGE), g[:p, p])
+                for b in self.blocks:
+                    size = len(kept[b.name][None])
+                    self.coefficients[b.name] = {None: kept[b.name][None] + step[:size]}
+                    step = step[size:]
+                now = float(df.agg(self._loss(y, w)).first()[0])
+                self.history.append(now)
+                if now >= best:
+                    self.coefficients, damping = kept, damping * 10
+                    if damping > 1e6:
+                        break
+                    continue
+                done, best, damping = best - now <= ftol * max(1.0, best), now, damping / 5
+                if done:
+                    break
+        finally:
+            df.unpersist()
+        return self
+
+    def groups(self) -> dict[str, list[str]]:
+        """Names of each block's design columns."""
+        return {b.name: [f"{b.name}_{i}" for i in range(len(b.basis()))] for b in self.blocks}
+
+    def expanded(self, df: DataFrame) -> DataFrame:
+        """df with all design columns."""
+        return df.withColumns({n: x for b, names in zip(self.blocks, self.groups().values(), strict=True) for n, x in zip(names, b.basis(), strict=True)})
+
+    def feature_curve(self, grid: DataFrame, name: str, out: str = "effect") -> DataFrame:
+        """grid, which holds the block's columns, with the block's factor at each of its rows."""
+        return grid.withColumn(out, self.block_column(next(b for b in self.blocks if b.name == name)))
+
     @staticmethod
     def _sums(df: DataFrame, b: Block, columns: list[Column], w: Column | None = None) -> dict:
         """(sums of products, rows) by level, in one pass; the level of a block without categories is null."""

@@ -31,7 +31,7 @@ def standardized(t):
     return round_all(windows.standardize(t.customer, ["c_acctbal"], ["c_mktsegment"]).select("c_mktsegment", "c_custkey", "c_acctbal"))
 
 
-@query("""SELECT o_orderpriority, avg(o_totalprice) AS prediction FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority, round(avg(o_totalprice), 4) AS prediction FROM orders GROUP BY 1""")
 def group_mean_model(t):
     fitted = linear.group_means(t.orders, ["o_orderpriority"], "o_totalprice")
     return linear.predict_group_means(t.orders.select("o_orderpriority").distinct(), fitted, ["o_orderpriority"]).select("o_orderpriority", rounded("prediction", 4).alias("prediction"))
