@@ -51,18 +51,18 @@ _ACCURACY = 100_000
 def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
     """Exact linear quantiles of the present values; none without values.
 
-    Large inputs are bracketed first: approximate quantiles a little under and over each probability, one pass that counts
-    what lies below each bracket, and the ranks wanted among the few values inside, counted by value.
+    One pass gives the count and brackets, approximate quantiles a little under and over each probability. For large
+    inputs a second one counts what lies below each bracket and a third ranks the few values inside.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    n = x.count()
+    slack = 3 / _ACCURACY + 3 / FEW  # both ranks around a probability lie inside, for any n over FEW
+    wide = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
+    cuts = x.agg(F.percentile_approx("x", F.array(*map(F.lit, wide)), _ACCURACY), F.min("x"), F.max("x"), F.count("x")).first()
+    n = cuts[3]
     if not n:
         return []
     if n <= FEW:
         return list(x.agg(F.percentile("x", F.array(*map(F.lit, probabilities)))).first()[0])
-    slack = 3 / _ACCURACY + 3 / n  # both ranks around a probability lie inside
-    wide = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
-    cuts = x.agg(F.percentile_approx("x", F.array(*map(F.lit, wide)), _ACCURACY), F.min("x"), F.max("x")).first()
     low = [cuts[1] if p <= slack else cuts[0][2 * i] for i, p in enumerate(probabilities)]
     high = [cuts[2] if p >= 1 - slack else cuts[0][2 * i + 1] for i, p in enumerate(probabilities)]
     below = x.agg(*[F.count(F.when(F.col("x") < F.lit(v), 1)).alias(f"b{i}") for i, v in enumerate(low)]).first()
