@@ -760,3 +760,96 @@ def test_jump_states_under_given_centroids(spark):
     states = lambda pen, c=False: [r["state"] for r in jump.predict_states(df, ["g"], ["t"], ["x"], [[0.0], [5.0]], pen, c).orderBy("t").collect()]
     assert states(0.1) == [0, 0, 0, 0, 1, 1, 1, 0, 1, 1]
     assert states(20.0) == [0, 0, 0, 0, 1, 1, 1, 1, 1, 1] == states(40.0, True)
+
+
+def test_surface_and_intervals(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(a * b + rng.normal(scale=0.1))) for a, b in rng.uniform(size=(1500, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    m = gam.fit(df, "y", [gam.Tensor("a", 0, 1, "b", 0, 1, smooth=0.01)])
+    assert df.agg(F.avg(F.abs(F.col("a") * F.col("b") - m.column()))).first()[0] < 0.03
+    pd_ = m.partial_dependence(spark).toPandas()
+    truth = pd_["x"] * pd_["other"]
+    truth -= truth.mean()
+    assert ((pd_["low"] <= truth) & (truth <= pd_["high"])).mean() > 0.8 and (pd_["high"] - pd_["low"]).between(1e-3, 0.5).all()
+    m = gam.fit(df, "y", [gam.Spline("a", 0, 1), gam.Spline("b", 0, 1)])
+    got = m.partial_dependence(spark, 0.95).toPandas()
+    line = 0.5 * (got["x"] - 0.5)
+    assert ((got["low"] <= line) & (line <= got["high"])).mean() > 0.8
+    wide = gam.Replay.from_json(m.to_json()).partial_dependence(spark, 0.99).toPandas()
+    assert (wide["high"] - wide["low"] > got["high"] - got["low"]).all()
+
+
+def test_components_with_intervals(spark):
+    text_ = json.dumps({"intercept": [2.0], "smooths": {"s": {"x": [0.0, 1.0], "fit": [0.0, 1.0], "se": [0.5, 0.25], "var": ["x"]}}, "parametric": {"term": ["gB"], "Estimate": [3.0], "Std. Error": [1.0]}, "xlevels": {"g": ["A", "B"]}})
+    r = gam.Replay.from_components(text_)
+    got = {(q["term"], q["level"], q["x"]): (q["effect"], round(q["low"], 2), round(q["high"], 2)) for q in r.partial_dependence(spark).collect()}
+    assert got == {("s__x", None, 0.0): (0.0, -0.98, 0.98), ("s__x", None, 1.0): (1.0, 0.51, 1.49), ("f__g", "A", None): (0.0, 0.0, 0.0), ("f__g", "B", None): (3.0, 1.04, 4.96)}
+    df = spark.createDataFrame([("A", 0.5), ("B", 2.0), ("C", 0.0)], "g string, x double")
+    assert col(r.decompose(df), "pred", "g") == [2.5, 6.0, 2.0]
+    assert gam.Replay.from_components("{}").partial_dependence(spark).count() == 0
+
+
+def test_bucket_curves_and_report(spark):
+    rng = np.random.default_rng(8)
+    tilt = {"p": -1.0, "q": -4.0, "r": 0.5}
+    rows = [(D(2024, 1, 1 + i % 9), f"k{i % 50}", b, float(x), float(20 + tilt[b] * x + rng.normal(scale=0.2))) for i, (b, x) in enumerate(zip(rng.choice(list(tilt), 900), rng.uniform(0, 10, 900), strict=True))]
+    df = spark.createDataFrame(rows, "day date, key string, bucket string, x double, y double")
+    plain = spread.Config("y", "key", "day", "x", "bucket", 0, 10, width=3.0)
+    own = spread.Config("y", "key", "day", "x", "bucket", 0, 10, width=3.0, bucket_shrink=1.0)
+    a, b = spread.LayeredModel(plain).fit(df), spread.LayeredModel(own).fit(df)
+    miss = lambda m: df.where("bucket <> 'r'").agg(F.avg(F.abs(F.col("y") - m.structural()))).first()[0]
+    assert miss(b) < 0.3 < miss(a)
+    grid = spark.createDataFrame([(k, float(x)) for k in tilt for x in np.linspace(0, 10, 21)], "bucket string, x double").withColumn("s", b.structural())
+    for k in tilt:  # base plus shape falls in every bucket, also where the data rise
+        assert (np.diff(col(grid.where(F.col("bucket") == k), "s", "x")) <= 1e-9).all()
+    again = spread.LayeredModel.from_json(b.to_json())
+    memory, daily = again.layers(df)
+    out = again.report(df, memory, daily)
+    assert [c for c in out.columns if c[:4] in ("adj_", "pred", "resi")] == ["adj_structural", "adj_bond", "adj_delta", "pred_structural", "pred_bond", "pred_final", "resid_structural", "resid_bond", "resid_final"]
+    r = out.agg(F.max(F.abs(F.col("pred_final") + F.col("resid_final") - F.col("y"))), F.max(F.abs(F.col("adj_structural") + F.col("adj_bond") + F.col("adj_delta") - F.col("pred_final"))), F.count("*")).first()
+    assert r[0] < 1e-9 and r[1] < 1e-9 and r[2] == 900
+    assert "resid_final" not in again.report(df.drop("y"), memory, daily).columns
+    late, curves_ = again.layers(df, D(2024, 1, 5))
+    assert late.agg(F.min("day")).first()[0] == curves_.agg(F.min("day")).first()[0] == D(2024, 1, 5)
+
+
+def test_optimisers(spark):
+    q = lambda v: (float(((v - [1.0, -2.0, 3.0]) ** 2).sum()), 2 * (v - np.array([1.0, -2.0, 3.0])))
+    assert np.allclose(fits.adam(q, [0.0, 0.0, 0.0], 2000), [1, -2, 3], atol=1e-3)
+    inner, start, back = fits.frozen(q, [0.0, 5.0, 0.0], [1])
+    assert np.allclose(back(fits.lbfgs(inner, start)), [1, 5, 3])
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    mean = lambda d: d.groupBy("a", "b", "c").agg(F.avg(-((F.col("a") - 2) ** 2)).alias("score"))
+    got = folds.random_search(df, ["a"], {"a": [1, 2, 3], "b": (0, 1), "c": (0.01, 100, "log")}, 20, mean).collect()
+    assert len(got) == 20 and got[0]["a"] == 2 and all(0 <= r["b"] <= 1 and 0.01 <= r["c"] <= 100 for r in got)
+
+
+def test_bounded_fit_with_any_loss(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.normal(scale=0.1, size=300)
+    y[:15] += 50
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    bounds = {"a": (0.0, 1.5), "b": (None, 0.0)}
+    same = linear.constrained_by_loss(df, "y", ["a", "b"], bounds, lambda r: r * r, lambda r: 2 * r)
+    exact = linear.constrained(df, "y", ["a", "b"], bounds)
+    assert np.allclose(same.coefficients, exact.coefficients, atol=1e-4) and abs(same.intercept - exact.intercept) < 1e-4
+    soft = linear.constrained_by_loss(df, "y", ["a", "b"], {"b": (None, 0.0)}, lambda r: F.sqrt(1 + r * r) - 1, lambda r: r / F.sqrt(1 + r * r))
+    assert np.allclose([soft.intercept, *soft.coefficients], [1, 2, -1], atol=0.15) and soft.rows == 300
+
+
+def test_ranks_and_intervals(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 4, 3), ("a", 9, 4), (None, 2, 5)], "g string, t int, id int")
+    got = windows.ranks(df, ["g"], ["t"], 2)
+    assert col(got, "percent_rank", "id") == [0.0, 0.0, 2 / 3, 1.0, 0.0] and col(got, "cume_dist", "id") == [0.5, 0.5, 0.75, 1.0, 1.0]
+    assert col(windows.nth(df, "id", ["g"], ["t", "id"], 2), "nth", "id") == [2, 2, 2, 2, None]
+    assert col(windows.within(df, F.sum("id"), ["g"], F.col("t"), 3, 5), "within", "id") == [6, 6, 10, 4, 5]
+    spans = spark.createDataFrame([("a", 0, 1, 10), ("a", 1, 8, 11), ("a", 5, 4, 12), (None, 0, 9, 13), ("a", None, 9, 14)], "g string, lo int, hi int, sid int")
+    for width in (0.5, 3, 100):
+        got = joins.interval_join(df, spans, ["g"], "t", "lo", "hi", width)
+        assert sorted((r["id"], r["sid"]) for r in got.collect()) == [(1, 10), (1, 11), (2, 10), (2, 11), (3, 11)]
+    days = spark.createDataFrame([(1, D(2024, 1, 5)), (1, D(2024, 2, 5))], "k int, d date")
+    span = spark.createDataFrame([(1, D(2024, 1, 5), D(2024, 1, 31))], "k int, lo date, hi date")
+    assert [r["d"] for r in joins.interval_join(days, span, ["k"], "d", "lo", "hi", 7).collect()] == [D(2024, 1, 5)]
+    assert joins.interval_join(days.limit(0), span, ["k"], "d", "lo", "hi", 7).isEmpty()

@@ -114,10 +114,19 @@ def fit_hinge(df: DataFrame, x: str, y: str, low: float, high: float, knots: Seq
     """Level, slope and bend weights of a hinge by least squares; monotone: 1 rises, -1 falls, 0 free."""
     from .linear import gram
 
+    g, n = gram(df, [*hinge_terms(x, low, high, knots), F.col(y)], F.col(weight) if weight else None)
+    return solve_hinge(g, n, low, high, knots, smooth, monotone)
+
+
+def hinge_terms(x: str, low: float, high: float, knots: Sequence[float]) -> list[Column]:
+    """Constant, x scaled to 0..1 and held there, and its bends: the columns that a hinge is linear in."""
     z = (F.least(F.greatest(F.col(x).cast("double"), F.lit(float(low))), F.lit(float(high))) - F.lit(float(low))) / F.lit(float(high - low))
-    cols = [F.lit(1.0), z, *[F.greatest(z - F.lit(float(t)), F.lit(0.0)) for t in knots], F.col(y)]
-    g, n = gram(df, cols, F.col(weight) if weight else None)
-    p = len(cols) - 1
+    return [F.lit(1.0), z, *[F.greatest(z - F.lit(float(t)), F.lit(0.0)) for t in knots]]
+
+
+def solve_hinge(g: np.ndarray, n: int, low: float, high: float, knots: Sequence[float], smooth: float = 0.0, monotone: int = 0) -> dict:
+    """The hinge of the sums of products of its terms and, last, the target."""
+    p = len(g) - 1
     pen = np.diag([0.0, 0.0, *[smooth * n] * len(knots)]) + 1e-9 * np.eye(p)
     h, c = g[:p, :p] + pen, g[:p, p]
     if not monotone:
@@ -175,6 +184,38 @@ def lbfgs(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]],
     return x
 
 
+def adam(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: Sequence[float], rounds: int = 500, rate: float = 0.05, tol: float = 1e-10) -> np.ndarray:
+    """Adaptive-moment descent (decays 0.9 and 0.999); the best point seen."""
+    x = np.asarray(start, float).copy()
+    best, at, m, v = np.inf, x.copy(), np.zeros_like(x), np.zeros_like(x)
+    for k in range(1, rounds + 1):
+        f, g = value_and_gradient(x)
+        if f < best:
+            best, at = f, x.copy()
+        if np.abs(g).max(initial=0.0) <= tol:
+            break
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return at
+
+
+def frozen(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: Sequence[float], held: Sequence[int]) -> tuple[Callable, np.ndarray, Callable]:
+    """(function of the free parameters only, their start, free -> all) with the parameters at held kept as they start."""
+    whole = np.asarray(start, float)
+    free = np.setdiff1d(np.arange(len(whole)), np.asarray(held, int))
+
+    def back(x: np.ndarray) -> np.ndarray:
+        out = whole.copy()
+        out[free] = x
+        return out
+
+    def inner(x: np.ndarray) -> tuple[float, np.ndarray]:
+        f, g = value_and_gradient(back(x))
+        return f, np.asarray(g)[free]
+
+    return inner, whole[free], back
+
+
 def isotonic(values: Sequence[float], weights: Sequence[float] | None = None, rising: bool = True) -> np.ndarray:
     return -smoothing.falling([-v for v in values], weights) if rising else smoothing.falling(values, weights)
 

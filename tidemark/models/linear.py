@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,6 +122,43 @@ def constrained(df: DataFrame, y: str, xs: Sequence[str], bounds: dict[str, tupl
     return Line(list(xs), b[1:] if constant else b, float(b[0]) if constant else 0.0, float(1 - rss / tss) if tss else 0.0, n)
 
 
+def constrained_by_loss(df: DataFrame, y: str, xs: Sequence[str], bounds: dict[str, tuple[float | None, float | None]], loss: Callable[[Column], Column], slope: Callable[[Column], Column], constant: bool = True, rounds: int = 200) -> Line:
+    """Least total loss(y - prediction) with a range per coefficient, for any convex loss with its derivative; one aggregate
+    a step. Projected descent, scaled by the sums of squares, from the constrained least squares."""
+    start = constrained(df, y, xs, bounds, constant)
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*xs, y])]).dropna()
+    cols = [F.lit(1.0)] * constant + [F.col(x) for x in xs]
+    limits = [(-np.inf, np.inf)] * constant + [tuple(np.inf * s if v is None else v for v, s in zip(bounds.get(x, (None, None)), (-1, 1), strict=True)) for x in xs]
+    low, high = (np.array([v[k] for v in limits], dtype=float) for k in (0, 1))
+    scale = np.array(rows.agg(*[F.sum(c * c) for c in cols]).first(), dtype=float)
+
+    def at(b: np.ndarray) -> tuple[float, np.ndarray]:
+        r = F.col(y)
+        for c, v in zip(cols, b, strict=True):
+            r = r - c * F.lit(float(v))
+        got = rows.select(r.alias("__r"), *[c.alias(f"__c{j}") for j, c in enumerate(cols)])
+        got = got.agg(F.sum(loss(F.col("__r"))), *[-F.sum(slope(F.col("__r")) * F.col(f"__c{j}")) for j in range(len(cols))]).first()
+        return float(got[0]), np.array(got[1:], dtype=float)
+
+    b = np.append([start.intercept] * constant, start.coefficients).astype(float)
+    f, g = at(b)
+    step = 1.0
+    for _ in range(rounds):
+        while step > 1e-12:
+            new = np.clip(b - step * g / np.maximum(scale, 1e-300), low, high)
+            fn, gn = at(new)
+            if fn <= f - 0.1 * float((g * (b - new)).sum()):
+                break
+            step /= 2
+        else:
+            break
+        done = f - fn <= 1e-10 * max(1.0, abs(f))
+        b, f, g, step = new, fn, gn, step * 2
+        if done:
+            break
+    return Line(list(xs), b[1:] if constant else b, float(b[0]) if constant else 0.0, float("nan"), start.rows)
+
+
 def autoregression(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], lags: int) -> Line:
     """AR by least squares on lags within each series, pooled over series."""
     w = Window.partitionBy(*keys).orderBy(*order)

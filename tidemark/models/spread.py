@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import curves
 from ..operators import filters, joins, smoothing
-from .fits import fit_hinge
+from .fits import fit_hinge, hinge_terms, solve_hinge
+from .linear import grams
 
 
 @dataclass
@@ -36,6 +37,7 @@ class Config:
     width: float = 0.15
     grid: int = 11
     blend: float = 0.7
+    bucket_shrink: float | None = None  # rows at which a bucket's own curve has half its weight; None: biases only
     filters: Sequence = ()
     clips: Sequence[filters.Clip] = ()
 
@@ -46,19 +48,23 @@ class LayeredModel:
     base: dict | None = None
     parts: dict[str, dict] = field(default_factory=dict)
     bias: dict[str, float] = field(default_factory=dict)
+    shapes: dict[str, dict] = field(default_factory=dict)
 
     # --- layer 1: structure -------------------------------------------------------------------------------------------
 
     def structural(self) -> Column:
-        """Base curve, additive components and the bucket's bias."""
+        """Base curve, additive components, the bucket's own curve and its bias."""
         c = self.config
         out = _hinge(c.x, self.base)
         for name, h in self.parts.items():
             out = out + _hinge(name, h)
+        shape = F.lit(0.0)
+        for b, h in self.shapes.items():
+            shape = F.when(F.col(c.bucket).cast("string") == F.lit(b), _hinge(c.x, h)).otherwise(shape)
         bias = F.lit(0.0)
         for b, v in self.bias.items():
             bias = F.when(F.col(c.bucket).cast("string") == F.lit(b), F.lit(v)).otherwise(bias)
-        return out + bias
+        return out + shape + bias
 
     def _grid(self) -> list[float]:
         return np.linspace(self.config.low, self.config.high, self.config.grid).tolist()
@@ -67,7 +73,7 @@ class LayeredModel:
         return filters.apply_clips(filters.tag_rows(df, self.config.filters), self.config.clips)
 
     def fit(self, df: DataFrame) -> LayeredModel:
-        """Base curve first, components on its residuals, bucket means on theirs; components are centred."""
+        """Base curve first, components on its residuals, bucket curves and then bucket means on theirs; components are centred."""
         c = self.config
         self.config.clips = filters.learn_clips(df, c.clips)
         rows = self._rows(df).where("_scorable")
@@ -80,14 +86,34 @@ class LayeredModel:
             h["level"] -= mean
             self.parts[name] = h
             left = left.withColumn("__left", F.col(c.target) - _hinge(c.x, self.base) - sum((_hinge(n, p) for n, p in self.parts.items()), F.lit(0.0)))
+        if c.bucket_shrink is not None:
+            self.shapes = self._bucket_curves(rows)
+            self.bias = {}
+            left = rows.withColumn("__left", F.col(c.target) - self.structural())
         self.bias = {str(r[0]): float(r[1]) for r in left.groupBy(F.col(c.bucket).cast("string")).agg(F.avg("__left")).collect() if r[0] is not None}  # one row a bucket
         return self
 
+    def _bucket_curves(self, rows: DataFrame) -> dict[str, dict]:
+        """What each bucket's curve adds to the base curve, from one aggregate. A bucket's whole curve is fitted under the
+        base's monotonicity and mixed with the base by its rows, so that base plus shape is monotone as well."""
+        c, knots = self.config, self.base["knots"]
+        rest = F.col(c.target) - sum((_hinge(n, p) for n, p in self.parts.items()), F.lit(0.0))
+        by = grams(rows.withColumn("__bucket", F.col(c.bucket).cast("string")), "__bucket", [*hinge_terms(c.x, c.low, c.high, knots), rest])
+        out = {}
+        for b, (g, n) in by.items():
+            own, part = solve_hinge(g, n, c.low, c.high, knots, monotone=c.monotone), n / (n + c.bucket_shrink)
+            mixed = {k: part * (own[k] - self.base[k]) for k in ("level", "slope")}
+            mixed["weights"] = [part * (v - w) for v, w in zip(own["weights"], self.base["weights"], strict=True)]
+            out[b] = {"low": c.low, "high": c.high, "knots": list(knots)} | mixed
+        return out
+
     # --- layers 2 and 3 -----------------------------------------------------------------------------------------------
 
-    def layers(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(memory rows, daily curves) of the scorable rows."""
+    def layers(self, df: DataFrame, since=None) -> tuple[DataFrame, DataFrame]:
+        """(memory rows, daily curves) of the scorable rows, from scratch; the structure stays as fitted. Days before since
+        are left out, and with them what the memory had learnt there."""
         c = self.config
+        df = df if since is None else df.where(F.col(c.day) >= F.lit(since))
         rows = self._rows(df).where("_scorable").withColumn("residual", F.col(c.target) - self.structural())
         memory = smoothing.keyed_memory(rows.select(c.key, c.day, c.x, c.bucket, "residual"), "residual", c.day, [c.key], [c.x], c.alpha, c.shrink, c.life)
         left = memory.withColumn("left", F.col("residual") - F.col("adjustment"))
@@ -119,9 +145,21 @@ class LayeredModel:
         found = found.withColumn("delta", F.when(F.col("_scorable"), F.coalesce(delta, F.lit(0.0))))
         return found.withColumn("prediction", F.col("structural") + F.col("adjustment") + F.col("delta")).drop("__day", "as_of_time", "curve")
 
+    def report(self, df: DataFrame, memory: DataFrame, daily: DataFrame) -> DataFrame:
+        """df with every layer's share (adj_), the prediction up to it (pred_) and, where the target is known, what is left
+        (resid_): structural, bond and delta or final. Rows that can't be scored keep their reason and nulls."""
+        out = self.predict(df, memory, daily)
+        shares = dict(zip(("structural", "bond", "delta"), ("structural", "adjustment", "delta"), strict=True))
+        out = out.withColumns({f"adj_{k}": F.col(v) for k, v in shares.items()})
+        preds = {"structural": F.col("structural"), "bond": F.col("structural") + F.col("adjustment"), "final": F.col("prediction")}
+        out = out.withColumns({f"pred_{k}": v for k, v in preds.items()})
+        if self.config.target in df.columns:
+            out = out.withColumns({f"resid_{k}": F.col(self.config.target) - F.col(f"pred_{k}") for k in preds})
+        return out.drop("structural", "adjustment", "delta", "prediction")
+
     def to_json(self) -> str:
         plain = asdict(self.config) | {"filters": [list(f) if not isinstance(f, filters.Criteria) else list(f.as_tuple) for f in self.config.filters]}
-        return json.dumps({"config": plain, "base": self.base, "parts": self.parts, "bias": self.bias})
+        return json.dumps({"config": plain, "base": self.base, "parts": self.parts, "bias": self.bias, "shapes": self.shapes})
 
     @staticmethod
     def from_json(text: str) -> LayeredModel:
@@ -130,7 +168,7 @@ class LayeredModel:
         cfg["clips"] = [filters.Clip(**x) for x in cfg["clips"]]
         cfg["filters"] = [tuple(f) for f in cfg["filters"]]
         cfg["components"] = {k: tuple(v) for k, v in cfg["components"].items()}
-        return LayeredModel(Config(**cfg), got["base"], got["parts"], got["bias"])
+        return LayeredModel(Config(**cfg), got["base"], got["parts"], got["bias"], got.get("shapes", {}))
 
 
 def _hinge(x: str, h: dict) -> Column:

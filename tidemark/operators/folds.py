@@ -78,5 +78,22 @@ def grid_search(df: DataFrame, keys: Sequence[str], grid: DataFrame, score: Call
     return score(df.join(F.broadcast(grid))).orderBy(F.col("score").desc_nulls_last(), *keys)
 
 
+def random_search(df: DataFrame, keys: Sequence[str], space: dict, draws: int, score: Callable[[DataFrame], DataFrame], seed: int = 0) -> DataFrame:
+    """grid_search over draws from a space: a list of choices, (low, high), or (low, high, "log"), by parameter name."""
+    import random
+
+    rng = random.Random(seed)
+
+    def draw(s):
+        if isinstance(s, list):
+            return rng.choice(s)
+        if len(s) == 3:
+            return float(s[0]) * (float(s[1]) / float(s[0])) ** rng.random()
+        return rng.uniform(float(s[0]), float(s[1]))
+
+    grid = df.sparkSession.createDataFrame([tuple(draw(s) for s in space.values()) for _ in range(draws)], list(space))
+    return grid_search(df, keys, grid, score)
+
+
 def mean_scores(scores: DataFrame, parameter: str) -> DataFrame:
     return scores.groupBy(parameter).agg(F.avg("score").alias("score"))

@@ -86,6 +86,30 @@ def as_of_decayed(left: DataFrame, right: DataFrame, keys: Sequence[str], left_d
     return out.withColumn(value, F.col(value) * F.exp(-F.lit(math.log(2) / life) * gap))
 
 
+def _slice(df: DataFrame, c: str, width: float) -> Column:
+    """Number of the slice of width that a number, a date (days) or a time (seconds, on its own clock without a zone) is in."""
+    kind = df.schema[c].dataType.typeName()
+    if kind == "timestamp_ntz":
+        at = F.unix_date(F.to_date(c)) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    else:
+        at = F.unix_date(c) if kind == "date" else F.col(c).cast("double")
+    return F.floor(at / F.lit(float(width)))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: float) -> DataFrame:
+    """Every point with each interval of its keys that holds it, both ends included; columns besides keys must differ.
+
+    Points go to the slice of width (seconds, days of a date, or units of a number) they lie in, intervals to all slices
+    they touch, and an equi-join on keys and slice is checked exactly: a pair meets once, no task holds all of a hot key,
+    and nothing is compared across slices. width near the usual length of an interval keeps both sides short. Null keys
+    or places, and intervals that end before they start, match nothing.
+    """
+    dealt = intervals.where(F.col(start) <= F.col(end))
+    dealt = dealt.withColumn("__slice", F.explode(F.sequence(_slice(dealt, start, width), _slice(dealt, end, width))))
+    met = points.withColumn("__slice", _slice(points, at, width)).join(dealt, [*keys, "__slice"])
+    return met.where(F.col(at).between(F.col(start), F.col(end))).drop("__slice")
+
+
 def date_ranks(df: DataFrame, date: str) -> DataFrame:
     """(date, rk) over the distinct dates."""
     return df.select(date).where(F.col(date).isNotNull()).distinct().withColumn("rk", F.row_number().over(Window.orderBy(date)))

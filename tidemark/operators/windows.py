@@ -40,6 +40,24 @@ def combine_latest(frames: Sequence[DataFrame], keys: Names, order: Names) -> Da
     return tagged.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__src")
 
 
+def ranks(df: DataFrame, keys: Names, order: Names, tiles: int) -> DataFrame:
+    """tile (1 to tiles), percent_rank and cume_dist of every row in its group; rows alike in order share the last two."""
+    w = over(keys, order)
+    return df.withColumns({"tile": F.ntile(tiles).over(w), "percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w)})
+
+
+def nth(df: DataFrame, value: str, keys: Names, order: Names, n: int, out: str = "nth") -> DataFrame:
+    """The n-th value of each whole group; null where it has fewer."""
+    w = over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn(out, F.nth_value(value, n).over(w))
+
+
+def within(df: DataFrame, agg: Column, keys: Names, at: Column, before: int, after: int = 0, out: str = "within") -> DataFrame:
+    """An aggregate over the group's rows whose position at (a whole number, such as a day) lies from before under a row's
+    own to after over it."""
+    return df.withColumn(out, agg.over(Window.partitionBy(*keys).orderBy(at).rangeBetween(-before, after)))
+
+
 def log_returns(df: DataFrame, price: str, keys: Names, order: Names, out: str = "log_return") -> DataFrame:
     before = F.lag(price).over(over(keys, order))
     return df.withColumn(out, F.when((F.col(price) > 0) & (before > 0), F.log(F.col(price) / before)))

@@ -185,3 +185,40 @@ def two_state_flip(t):
 @query("""WITH s AS (SELECT event_type, event_id % 3 AS state, stddev_pop(value) sd, avg(value) m FROM events GROUP BY 1, 2), o AS (SELECT event_type, m <= lag(m) OVER (PARTITION BY event_type ORDER BY sd, state) ok FROM s) SELECT event_type, bool_and(coalesce(ok, true)) AS agrees FROM o GROUP BY 1""")
 def state_order(t):
     return aggs.order_agrees(t.events.withColumn("state", F.col("event_id") % 3), "value", "value", "state", ["event_type"])
+
+
+@query("""SELECT c_custkey, CAST(ntile(4) OVER w AS INTEGER) AS tile, round(percent_rank() OVER w, 9) AS percent_rank, round(cume_dist() OVER w, 9) AS cume_dist, nth_value(c_custkey, 3) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third
+FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)""")
+def group_ranks(t):
+    """Tiles, relative ranks and the third value of every segment."""
+    keys, order = ["c_mktsegment"], ["c_acctbal", "c_custkey"]
+    out = windows.nth(windows.ranks(t.customer, keys, order, 4), "c_custkey", keys, order, 3, "third")
+    return round_all(out.select("c_custkey", "tile", "percent_rank", "cume_dist", "third"), 9)
+
+
+@query("""SELECT o_orderkey, CAST(count(*) OVER w AS BIGINT) AS orders_30d, max(o_totalprice) OVER w AS largest_30d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) RANGE BETWEEN 30 PRECEDING AND CURRENT ROW)""")
+def trailing_days(t):
+    """Orders of a customer's last thirty days, by a frame of days and not of rows."""
+    keys, day = ["o_custkey"], F.unix_date(F.to_date("o_orderdate"))
+    out = windows.within(t.orders, F.count("*"), keys, day, 30, out="orders_30d")
+    return windows.within(out, F.max("o_totalprice"), keys, day, 30, out="largest_30d").select("o_orderkey", "orders_30d", "largest_30d")
+
+
+@query("""SELECT e.event_id, p.event_id AS purchase_id FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND e.ts BETWEEN p.ts AND p.ts + INTERVAL 36 HOUR""")
+def events_after_purchase(t):
+    """Every event with the purchases of its user in the 36 hours before it."""
+    bought = t.events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("since"), F.expr("ts + INTERVAL 36 HOURS").alias("until"))
+    return joins.interval_join(t.events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "since", "until", 129600).select("event_id", "purchase_id")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_type, (p_size - 1) / 49.0 z FROM part)
+SELECT p_partkey, round(2 * z - 1, 6) AS s__p_size, round(CASE p_type WHEN 'ECONOMY' THEN z WHEN 'PROMO' THEN 3 - z ELSE 0 END, 6) AS s__p_size__by__p_type, round(CASE p_type WHEN 'PROMO' THEN 0.25 ELSE 0 END, 6) AS f__p_type, round(10 + 2 * z - 1 + CASE p_type WHEN 'ECONOMY' THEN z WHEN 'PROMO' THEN 3 - z + 0.25 ELSE 0 END, 6) AS pred FROM x""")
+def gam_components(t):
+    """Scores from exported smooth components: a curve, a curve by type and a factor."""
+    import json
+
+    smooth = lambda fit, **more: {"x": [1.0, 50.0], "fit": fit, "se": [0.1, 0.1], "var": "p_size"} | more
+    smooths = {"s(p_size)": smooth([-1.0, 1.0]), "s(p_size):ECONOMY": smooth([0.0, 1.0], by_var=["p_type"], by_level=["ECONOMY"]), "s(p_size):PROMO": smooth([3.0, 2.0], by_var="p_type", by_level="PROMO")}
+    parametric = {"term": ["(Intercept)", "p_typePROMO"], "Estimate": [10.0, 0.25], "Std. Error": [0.1, 0.1]}
+    r = gam.Replay.from_components(json.dumps({"intercept": 10.0, "smooths": smooths, "parametric": parametric, "xlevels": {"p_type": ["ECONOMY", "PROMO"]}}))
+    return round_all(r.decompose(t.part).select("p_partkey", "s__p_size", "s__p_size__by__p_type", "f__p_type", "pred"))
