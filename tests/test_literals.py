@@ -853,3 +853,16 @@ def test_ranks_and_intervals(spark):
     span = spark.createDataFrame([(1, D(2024, 1, 5), D(2024, 1, 31))], "k int, lo date, hi date")
     assert [r["d"] for r in joins.interval_join(days, span, ["k"], "d", "lo", "hi", 7).collect()] == [D(2024, 1, 5)]
     assert joins.interval_join(days.limit(0), span, ["k"], "d", "lo", "hi", 7).isEmpty()
+
+
+def test_surface_against_its_lines(spark):
+    xs, ys = [0.0, 1.0, 3.0, 4.0], [0.0, 2.0, 3.0]
+    z = np.random.default_rng(9).normal(size=(4, 3))
+    df = spark.createDataFrame([(float(x), float(y)) for x in np.linspace(-1, 5, 25) for y in np.linspace(-1, 4, 21)] + [(None, 1.0), (1.0, None)], "x double, y double")
+    lines = [curves.pchip(nulls.clip("x", 0.0, 4.0), xs, z[:, j].tolist()) for j in range(3)]
+    got = df.select("x", "y", curves.surface("x", "y", xs, ys, z.tolist()).alias("s"), *[c.alias(f"l{j}") for j, c in enumerate(lines)]).collect()
+    for r in got:
+        if r["x"] is None or r["y"] is None:
+            assert r["s"] is None
+        else:
+            assert np.isclose(r["s"], np.interp(r["y"], ys, [r["l0"], r["l1"], r["l2"]]), atol=1e-12)

@@ -75,15 +75,20 @@ def _segments(x: Column, knots: Sequence[float], pieces: Sequence[Column], below
 MANY = 8
 
 
-def _looked_up(x: Column, xs: Sequence[float], coefficients: Sequence[Sequence[float]], below: Column, above: Column) -> Column:
-    """Polynomials in x - xs[i] (constant term first) of the piece that holds x."""
-    knots = np.asarray(xs, float)
+def _piece(x: Column, knots: np.ndarray) -> Column:
+    """Number of the piece that holds x, from 0; the first and last ones beyond the ends."""
     step = (knots[-1] - knots[0]) / (len(knots) - 1)
     if np.allclose(np.diff(knots), step, rtol=1e-9, atol=0):
         at = F.floor((x - F.lit(float(knots[0]))) / F.lit(float(step))).cast("int")
     else:
         at = F.size(F.filter(F.array(*[F.lit(float(k)) for k in knots]), lambda k: k < x)) - 1
-    at = F.least(F.greatest(at, F.lit(0)), F.lit(len(knots) - 2))
+    return F.least(F.greatest(at, F.lit(0)), F.lit(len(knots) - 2))
+
+
+def _looked_up(x: Column, xs: Sequence[float], coefficients: Sequence[Sequence[float]], below: Column, above: Column) -> Column:
+    """Polynomials in x - xs[i] (constant term first) of the piece that holds x."""
+    knots = np.asarray(xs, float)
+    at = _piece(x, knots)
     pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), at)
     z, out = x - pick(knots), F.lit(0.0)
     for row in reversed(list(zip(*coefficients, strict=True))):
@@ -142,6 +147,26 @@ def pchip(x, xs, ys, tails: str = "flat") -> Column:
     return cubic(x, xs, ys, pchip_slopes(xs, ys), tails)
 
 
+def surface(x, y, xs: Sequence[float], ys: Sequence[float], z: Sequence[Sequence[float]]) -> Column:
+    """Monotone cubic along x on every grid line of y, then linear along y between its neighbours; both are held to the
+    grid. The coefficients of a cell are looked up in constant arrays, so that the expression doesn't grow with the grid."""
+    a, b = clip(x, xs[0], xs[-1]), clip(y, ys[0], ys[-1])
+    u, v, grid = np.asarray(xs, float), np.asarray(ys, float), np.asarray(z, float)
+    h, rows = np.diff(u), []
+    for values in grid.T:
+        m, d = pchip_slopes(u, values), np.diff(values) / h
+        rows.append((values[:-1], m[:-1], (3 * d - 2 * m[:-1] - m[1:]) / h, (m[:-1] + m[1:] - 2 * d) / h**2))
+    cells = np.stack([np.stack(r) for r in rows], axis=-1)  # power, piece of x, line of y
+    i, j = _piece(a, u), _piece(b, v)
+    pick = lambda values, at: F.get(F.array(*[F.lit(float(w)) for w in np.ravel(values)]), at)
+    dx, t = a - pick(u, i), (b - pick(v, j)) / pick(np.diff(v), j)
+    out, at = F.lit(0.0), i * F.lit(len(v)) + j
+    for c in cells[::-1]:
+        near = pick(c, at)
+        out = out * dx + near + (pick(c, at + 1) - near) * t
+    return F.when(a.isNotNull() & b.isNotNull(), out)
+
+
 def bspline(x, knots: Sequence[float], coefficients: Sequence[float], degree: int = 3) -> Column:
     """A B-spline by its knots and coefficients, as polynomial pieces between distinct knots; held at its ends."""
     t, c, k = np.asarray(knots, float), np.asarray(coefficients, float), degree

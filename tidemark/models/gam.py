@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import curves, nulls
+from ..functions import curves
 from .linear import gram
 
 
@@ -59,19 +59,7 @@ class Term:
             for level, c in self.groups.items():
                 out = F.when(F.col(self.by).cast("string") == F.lit(level), curves.pchip(self.feature, c["x"], c["y"])).otherwise(out)
             return out
-        return self._tensor()
-
-    def _tensor(self) -> Column:
-        """Monotone cubic along the first feature for every grid line of the second, then along the second between its
-        neighbours; both are held to the grid."""
-        a = nulls.clip(self.feature, self.x[0], self.x[-1])
-        b = nulls.clip(self.other, self.y[0], self.y[-1])
-        lines = [curves.pchip(a, self.x, [row[j] for row in self.z]) for j in range(len(self.y))]
-        out = lines[-1]
-        for j in range(len(self.y) - 2, -1, -1):
-            t = (b - F.lit(float(self.y[j]))) / F.lit(float(self.y[j + 1] - self.y[j]))
-            out = F.when(b <= F.lit(float(self.y[j + 1])), lines[j] + (lines[j + 1] - lines[j]) * t).otherwise(out)
-        return F.when(a.isNotNull() & b.isNotNull(), out)
+        return curves.surface(self.feature, self.other, self.x, self.y, self.z)
 
 
 @dataclass
