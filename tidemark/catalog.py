@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import extras, frames, measures
+from .plans import extras, frames, measures, stored
 from .plans.registry import QUERIES, SQL
 
-_LOADED = (extras, frames, measures)
+_LOADED = (extras, frames, measures, stored)
 
 
 def queries() -> dict:

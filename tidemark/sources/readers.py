@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,22 @@ def stage_jdbc(df: DataFrame, url: str, table: str, **options) -> str:
     return name
 
 
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors share, under the one that spark.checkpoint.dir names; a local one only where one
+    machine runs all and none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tidemark-tables-"))
+        found = "file://" + _OWN[0]
+    return f"{found.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 class Table:
     """A Parquet table that is replaced by writing a new folder and moving a pointer, so that readers see old or new rows."""
 
