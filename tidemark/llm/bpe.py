@@ -3,7 +3,8 @@
 A long text is cut into chunks that overlap. Every chunk is pre-tokenised on its own, in parallel. The pattern looks
 back at nothing, so once two runs over the same characters share a boundary, all their later boundaries agree: the
 chunks are stitched at the first shared boundary of each overlap that doesn't follow white space (which the pattern
-joins differently at a text's end), and the pieces between stitches are encoded. Where an overlap holds no such boundary (one huge run of letters or blanks), the two chunks are joined and pre-tokenised again.
+joins differently at a text's end), and the pieces between stitches are encoded. Where an overlap holds no such boundary (one huge run of letters or blanks), the text is pre-tokenised on from the last
+sure one, twice as far each time, so that the time stays linear in the run.
 Decoding concatenates the raw bytes of the ids.
 """
 
@@ -71,17 +72,18 @@ class Codec:
 def stitch(codec: Codec, text: str, starts: list[int], cuts: list[list[int]], chunk: int, overlap: int) -> list[int]:
     """Positions of the text at which chunks hand over. cuts: each chunk's boundaries, from its own start."""
     out: list[int] = []
-    begin, own, last = starts[0], cuts[0], 0
+    begin, own, last, reach = starts[0], cuts[0], 0, starts[0] + chunk + overlap
     for s, later in zip(starts[1:], cuts[1:], strict=True):
         left = _sure(begin, own, len(text))
         shared = [x for x in sorted(left & _sure(s, later, len(text))) if max(s, last) < x <= s + overlap and not text[x - 1].isspace()]
         if shared:
             last = shared[0]
             out.append(last)
-            begin, own = s, later
-        else:  # one run fills the overlap: carry on from the earlier chunk's last sure boundary
-            begin = max((x for x in left if x > last), default=last)
-            own = codec.boundaries(text[begin : s + chunk + overlap])
+            begin, own, reach = s, later, s + chunk + overlap
+        elif reach < min(len(text), s + chunk + overlap):  # one run fills the overlap: carry on from the last sure boundary
+            begin = max((x for x in left if x > last), default=max(begin, last))
+            reach = max(s + chunk + overlap, begin + 2 * (reach - begin))
+            own = codec.boundaries(text[begin:reach])
     return out
 
 
