@@ -130,10 +130,18 @@ def layered_spread(t):
     return round_all(out.select("event_id", "_scorable", "_skip_reason", "structural", "adjustment", "delta", "prediction"), 5)
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, CAST(ts AS DATE) "day", CAST(hour(ts) AS DOUBLE) h, value FROM events), g AS (SELECT unnest([0, 6, 12, 18]) :: DOUBLE g),
+r AS (SELECT event_type, "day", g, sum(w * value) / sum(w) * (1 - exp(-sum(w))) raw FROM (SELECT *, exp(-(h - g) * (h - g) / 18) w FROM e, g) GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER o p, lead("day") OVER o AS after FROM r WINDOW o AS (PARTITION BY event_type, g ORDER BY "day")),
+c AS (SELECT a.event_type, a.g, a."day", a.after, sum(0.7 * pow(0.3, a.p - b.p) * b.raw) delta FROM n a JOIN n b ON a.event_type = b.event_type AND a.g = b.g AND b.p <= a.p GROUP BY 1, 2, 3, 4)
+SELECT c.event_type, d."day", c.g AS grid_x, round(delta, 6) AS delta FROM c JOIN (SELECT DISTINCT "day" FROM e) d ON d."day" >= c."day" AND (c.after IS NULL OR d."day" < c.after)""")
 def daily_kernel_curves(t):
+    """Each type's curve over the hours, blended with the day before's, one row per grid point."""
+    grid = [0.0, 6.0, 12.0, 18.0]
     df = t.events.select("event_type", F.to_date("ts").alias("day"), F.hour("ts").cast("double").alias("hour"), "value")
-    return smoothing.daily_curves(df, "day", "event_type", "hour", "value", [0.0, 6.0, 12.0, 18.0], 3.0, 0.7)
+    out = smoothing.daily_curves(df, "day", "event_type", "hour", "value", grid, 3.0, 0.7)
+    points = out.select("event_type", "day", F.explode(F.arrays_zip(F.array(*map(F.lit, grid)).alias("grid_x"), F.col("curve").alias("delta"))).alias("p"))
+    return round_all(points.select("event_type", "day", F.col("p.grid_x").alias("grid_x"), F.col("p.delta").alias("delta")))
 
 
 @query("""WITH e AS (SELECT event_id, value, CAST(ts AS DATE) d, CAST(event_id % 17 AS DOUBLE) x FROM events), m AS (SELECT d, row_number() OVER (ORDER BY d) rk FROM e GROUP BY 1), r AS (SELECT * FROM e JOIN m USING (d)),

@@ -437,7 +437,11 @@ def savgol(t):
     return round_all(smoothing.savgol(_series(t).drop("event_type"), "value", U, O, 7, 2).select("event_id", "smooth"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id, user_id, CAST(event_id % 13 AS DOUBLE) x, CASE WHEN event_id % 4 <> 0 THEN value END y, row_number() {_W}) i FROM events),
+p AS (SELECT a.event_id, b.x, b.y, CAST(row_number() OVER (PARTITION BY a.event_id ORDER BY b.i DESC) - 1 AS DOUBLE) k, count(*) OVER (PARTITION BY a.event_id) n FROM e a JOIN e b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 8 AND a.i - 1 WHERE a.i > 8 AND b.y IS NOT NULL),
+w AS (SELECT *, exp(-k / (n - 1)) w FROM p WHERE n >= 4), m AS (SELECT *, sum(w * x) OVER g / sum(w) OVER g mx, sum(w * y) OVER g / sum(w) OVER g my FROM w WINDOW g AS (PARTITION BY event_id)),
+l AS (SELECT event_id, sum(w * (x - mx) * (y - my)) / (sum(w * (x - mx) * (x - mx)) + 1) s, min(mx) mx, min(my) my FROM m GROUP BY 1)
+SELECT event_id, round(last_value(s IGNORE NULLS) OVER f * x + last_value(my - s * mx IGNORE NULLS) OVER f, 6) AS imputed FROM e LEFT JOIN l USING (event_id) WINDOW f AS (PARTITION BY user_id ORDER BY i)""")
 def ridge_imputer(t):
     df = _series(t).withColumn("x", (F.col("event_id") % 13).cast("double")).withColumn("y", F.when(F.col("event_id") % 4 != 0, F.col("value")))
     return round_all(smoothing.rolling_ridge_impute(df, "y", "x", U, O, 8, 1.0).select("event_id", "imputed"))
