@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, curves, dates, text
-from ..models import fits, gam, linear, product
+from ..models import fits, gam, linear, product, tsa
 from ..operators import filters, folds, smoothing, windows
 from ..sources import export, identifiers, readers, registry
 from ..streaming import state
@@ -224,6 +224,16 @@ def bounded_slope(t):
     return round_all(t.spark.createDataFrame([(float(line.coefficients[0]), line.intercept)], "slope double, intercept double").select(rounded("slope").alias("slope"), rounded("intercept", 4).alias("intercept")), 6)
 
 
+@query(f"""WITH a AS (SELECT user_id, ts, event_id, value - lag(value) {_W}) y, lag(value) {_W}) x FROM events), b AS (SELECT y, x, lag(y) {_W}) z FROM a), r AS (SELECT * FROM b WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL),
+s AS (SELECT count(*) n, var_pop(x) * count(*) xx, var_pop(z) * count(*) zz, var_pop(y) * count(*) yy, covar_pop(x, z) * count(*) xz, covar_pop(x, y) * count(*) xy, covar_pop(z, y) * count(*) zy FROM r),
+k AS (SELECT *, xx * zz - xz * xz det, (xy * zz - zy * xz) / (xx * zz - xz * xz) kx, (zy * xx - xy * xz) / (xx * zz - xz * xz) kz FROM s)
+SELECT n AS "rows", round(kx / sqrt((yy - kx * xy - kz * zy) / (n - 3) * zz / det), 5) AS t FROM k""")
+def unit_root(t):
+    """The unit-root statistic of the users' pooled values with one lagged step."""
+    got = tsa.adf(t.events, "value", U, O, 1)
+    return t.spark.createDataFrame([(got["rows"], round(got["t"], 5))], "rows long, t double")
+
+
 @query("""SELECT l_returnflag, round(regr_intercept(l_extendedprice / 1000, l_quantity), 3) AS a, round(regr_slope(l_extendedprice / 1000, l_quantity), 3) AS b FROM lineitem GROUP BY 1""")
 def curve_fits(t):
     """A curve of given form fitted to each flag's points; a straight one, so that regression gives the same."""
