@@ -50,6 +50,41 @@ def test_momentum(spark):
     assert col(out, "signal", "t") == [None, None, 1, 0, -1]
 
 
+def same(mine, want):
+    """Equal lists in which None, NaN and infinities are told apart."""
+    return [repr(v + 0.0) if v is not None else v for v in mine] == [repr(v + 0.0) if v is not None else v for v in want]
+
+
+def test_log_returns_by_odd_prices(spark):
+    inf, nan = math.inf, math.nan
+    x = [2, 2, 0, 0, 1, -1, -1, -0.0, 3, None, 3, inf, nan, 1]
+    out = windows.log_returns(series(spark, x), "x", ["g"], ["t"])
+    assert same(col(out, "log_return", "t"), [None, 0.0, -inf, nan, inf, nan, 0.0, -inf, nan, None, None, inf, nan, nan])
+    with np.errstate(all="ignore"):
+        p = pd.Series(x, dtype=float)
+        assert np.array_equal(np.array(col(out, "log_return", "t"), float), np.log(p / p.shift(1)), equal_nan=True)
+    assert "__ratio" not in out.columns
+
+
+def test_log_returns_of_zero_values_match_sql(spark, tmp_path):
+    sql_and_query_agree(spark, tmp_path, "log_returns", "log_return", [5.0, 0.0, 0.0, 7.5, None, 2.0, 2.5, 0.0])
+
+
+def sql_and_query_agree(spark, tmp_path, name, column, values):
+    """One user's events with these values, by the query and by its SQL."""
+    import duckdb
+
+    from tidemark import catalog
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1, "view", v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(c.execute(f"SELECT event_id, {column} FROM ({catalog.oracle_sql()[name]})").fetchall())
+    mine = catalog.queries()[name](spark, str(tmp_path))
+    assert same(col(mine, column, "event_id"), [want[i] for i in range(len(values))])
+
+
 def test_ewma_and_volatility(spark):
     x = [0, 1, 2, 1, None, 3, 2, 1]
     p = pd.Series(x, dtype=float)

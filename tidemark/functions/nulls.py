@@ -74,5 +74,11 @@ def weighted_mean(x: Column | str, w: Column | str) -> Column:
     return F.try_divide(F.sum(F.when(both, x * w)), F.sum(F.when(both, w)))
 
 
+def divide(a: Column | str, b: Column | str) -> Column:
+    """a / b in doubles as numpy and SQL engines divide: by zero it is an infinity of the signs' product, 0 / 0 is NaN."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
+
+
 def all_of(conditions) -> Column:
     return functools.reduce(operator.and_, conditions, F.lit(True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,8 +60,11 @@ def within(df: DataFrame, agg: Column, keys: Names, at: Column, before: int, aft
 
 
 def log_returns(df: DataFrame, price: str, keys: Names, order: Names, out: str = "log_return") -> DataFrame:
-    before = F.lag(price).over(over(keys, order))
-    return df.withColumn(out, F.when((F.col(price) > 0) & (before > 0), F.log(F.col(price) / before)))
+    """ln of each price over the one before. A price of zero gives -infinity, one after zero infinity; NaN where the ratio
+    is negative or undefined, null where a price is missing."""
+    df = df.withColumn("__ratio", nulls.divide(price, F.lag(price).over(over(keys, order))))
+    r = F.col("__ratio")
+    return df.withColumn(out, F.when(r == 0, F.lit(-math.inf)).when(r < 0, F.lit(math.nan)).otherwise(F.log(r))).drop("__ratio")
 
 
 def simple_returns(df: DataFrame, price: str, keys: Names, order: Names, out: str = "ret") -> DataFrame:
