@@ -70,6 +70,19 @@ def test_log_returns_of_zero_values_match_sql(spark, tmp_path):
     sql_and_query_agree(spark, tmp_path, "log_returns", "log_return", [5.0, 0.0, 0.0, 7.5, None, 2.0, 2.5, 0.0])
 
 
+def test_strategy_returns_by_odd_prices(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(0, i, p, x) for i, (p, x) in enumerate([(1, 2.0), (1, 3.0), (-1, 0.0), (1, 0.0), (1, None), (0, 4.0), (1, 0.0), (0, 5.0), (1, 10.0), (-1, 0.0), (-1, 1.0)])]
+    out = windows.strategy_returns(spark.createDataFrame(rows, "g int, t int, p int, x double"), "p", "x", ["g"], ["t"])
+    assert same(col(out, "strategy_return", "t"), [None, 0.5, 1.0, nan, None, None, -1.0, nan, 1.0, 1.0, -inf])
+    assert same(col(out, "strategy_wealth", "t"), [None, 1.5, 3.0, 3.0, 3.0, 3.0, 0.0, 0.0, 0.0, 0.0, nan])
+
+
+def test_strategy_returns_of_zero_values_and_halves_match_sql(spark, tmp_path):
+    # 57.63 / 6.4 - 1 prints as 8.0046875, but a million times it is below a half.
+    sql_and_query_agree(spark, tmp_path, "strategy_returns", "strategy_return", [6.4, 57.63, 0.0, 0.0, 7.5, None, 2.0, 2.5, 0.0, 4.0, 0.0, 4.0])
+
+
 def sql_and_query_agree(spark, tmp_path, name, column, values):
     """One user's events with these values, by the query and by its SQL."""
     import duckdb

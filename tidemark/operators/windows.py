@@ -68,7 +68,8 @@ def log_returns(df: DataFrame, price: str, keys: Names, order: Names, out: str =
 
 
 def simple_returns(df: DataFrame, price: str, keys: Names, order: Names, out: str = "ret") -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(price), F.lag(price).over(over(keys, order))) - 1)
+    """Price over the one before, less 1. Infinite after a price of zero, NaN where both are zero, null where one is missing."""
+    return df.withColumn(out, nulls.divide(price, F.lag(price).over(over(keys, order))) - 1)
 
 
 def ewma(df: DataFrame, value: str, keys: Names, order: Names, com: float, out: str = "ewma") -> DataFrame:
@@ -254,10 +255,10 @@ def recency_weights(df: DataFrame, date: str, rate: float, offset: float, out: s
 
 
 def strategy_returns(df: DataFrame, position: str, price: str, keys: Names, order: Names) -> DataFrame:
-    """Position times simple return, and its running product."""
+    """Position times simple return, and its running product, which passes over missing and undefined (NaN) returns."""
     w = over(keys, order)
     df = simple_returns(df, price, keys, order, "__ret").withColumn("strategy_return", F.col(position) * F.col("__ret")).drop("__ret")
-    return df.withColumn("strategy_wealth", running_product(1 + F.col("strategy_return"), w))
+    return df.withColumn("strategy_wealth", running_product(nulls.clean(1 + F.col("strategy_return")), w))
 
 
 def rolling_regression(df: DataFrame, y: str, x: str, keys: Names, order: Names, back: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, curves, dates, text
 from ..models import gam, linear, product, spread
 from ..operators import aggs, filters, folds, joins, ledger, smoothing, windows
-from .registry import query, round_all, rounded
+from .registry import query, round_all, rounded, rounded_scaled
 
 U, O = ["user_id"], ["ts", "event_id"]
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
@@ -23,7 +23,7 @@ SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 T
 def strategy_returns(t):
     pos = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, -1).otherwise(0)
     out = windows.strategy_returns(t.events.withColumn("pos", pos), "pos", "value", U, O)
-    return out.select("event_id", (rounded("strategy_return") + 0.0).alias("strategy_return"))
+    return out.select("event_id", (rounded_scaled("strategy_return") + 0.0).alias("strategy_return"))
 
 
 @query("""SELECT c_mktsegment, c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) AS c_acctbal FROM customer WINDOW w AS (PARTITION BY c_mktsegment)""")
