@@ -392,6 +392,22 @@ def test_dates_and_texts(spark):
         say(text.strict_number, float("inf"))
 
 
+def test_adaptive_numbers_at_halves_and_beyond_doubles_whole_range(spark, tmp_path):
+    import duckdb
+
+    from tidemark import catalog
+
+    xs = [0.03125, 0.09375, 0.15625, 0.21875, -0.28125, 5.125, 5.375, 2.5e-7, 1e15, -(2.0**53) - 2, 2.0**63, -(2.0**64), 1e23, 2.0**125 + 2.0**80, 2.0**126, 1234567.5, 9.995e-5]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", text.adaptive_number("x").alias("s"))
+    want = ["3.12e-02", "0.0938", "0.1562", "0.2188", "-0.2812", "5.12", "5.38", "2.50e-07", *[f"{x:,.0f}" for x in xs[8:14]], "8.51e+37", "1.23e+06", "1.00e-04"]
+    assert col(rows, "s", "i") == want
+    keys = [0, 1, 2, 3, 1001, 8191, 32767, 98303, 163839, 294911, 4_000_000_000_000, 1_000_000_002, 40_000_000_002, 1_000_000_001]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert {r["c_custkey"]: r["label"] for r in catalog.queries()["adaptive_numbers"](spark, str(tmp_path)).collect()} == dict(c.execute(catalog.oracle_sql()["adaptive_numbers"]).fetchall())
+
+
 def at(spark, make, xs):
     df = spark.createDataFrame([(i, None if x is None else float(x)) for i, x in enumerate(xs)], "i int, x double")
     return col(df.withColumn("y", make("x")), "y", "i")

@@ -16,18 +16,38 @@ def number_format(c: Column | str, decimals: int = 2, commas: bool = True, perce
     return F.when(is_missing(c), F.lit(missing)).otherwise(F.concat(text, F.lit("%")) if percent else text)
 
 
+def _fixed(x: Column, d: int) -> Column:
+    """%.{d}f as C and Python print it: the number's exact value, halves to even. (format_string rounds the shortest decimal
+    text, halves up.)"""
+    return F.replace(F.format_number(x, d), F.lit(","), F.lit(""))
+
+
+def _scientific(x: Column, d: int) -> Column:
+    """%.{d}e, rounded in the same way."""
+    text = F.call_function("format_number", x, F.lit("0." + "0" * d + "E00"))
+    return F.replace(F.replace(text, F.lit("E-"), F.lit("e-")), F.lit("E"), F.lit("e+"))
+
+
+def _whole(x: Column) -> Column:
+    """A whole number under 2^126 with commas, all digits exact: in one long, or in two put together as a decimal."""
+    base = F.lit(float(2**63))
+    high = F.floor(F.abs(x) / base)
+    digits = high.cast("decimal(19,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + (F.abs(x) - high * base).cast("long").cast("decimal(19,0)")
+    return F.when(F.abs(x) < base, F.format_number(x.cast("long"), 0)).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.format_number(digits, 0)))
+
+
 def adaptive_number(c: Column | str) -> Column:
-    """Whole numbers with commas; within 1e-4..1e6 two or four decimals if those are right to a thousandth; else scientific."""
+    """Whole numbers (under 2^126) with commas; within 1e-4..1e6 two or four decimals if those are right to a thousandth; else scientific."""
     x = col(c).cast("double")
     size = F.abs(x)
     close = lambda d: F.abs(F.round(x, d) - x) <= size * 1e-3
     mid = (size >= 1e-4) & (size < 1e6)
     return (
         F.when(is_missing(x), F.lit(""))
-        .when((x == F.rint(x)) & (size < 1e15), F.format_number(x, 0))
-        .when(mid & close(2), F.format_string("%.2f", x))
-        .when(mid & close(4), F.format_string("%.4f", x))
-        .otherwise(F.format_string("%.2e", x))
+        .when((x == F.rint(x)) & (size < 2.0**126), _whole(x))
+        .when(mid & close(2), _fixed(x, 2))
+        .when(mid & close(4), _fixed(x, 4))
+        .otherwise(_scientific(x, 2))
     )
 
 
