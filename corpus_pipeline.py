@@ -11,21 +11,25 @@ WORD_BPE = "word_bpe_49k.json"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language model rejects; it learns from the stage's own labelled rows."""
+    common.small_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
+    common.small_batches(spark)
     return neardup.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; no document goes."""
+    common.small_batches(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences."""
+    common.small_batches(spark)
     return packing.pack(docs, common.tokenizer_file(WORD_BPE))
 
 

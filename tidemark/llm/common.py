@@ -6,7 +6,9 @@ Scratch tables replace lineage cuts kept on one machine: they are Parquet files
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,10 +68,37 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time. What was freed goes
+    back to the system after each batch and at the end, since workers live on beside the executor's heap."""
+    try:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                yield b.slice(lo, rows)
+            release()
+    finally:
+        b = None  # the last batch too
+        release()
+
+
+#: Bytes of one Arrow batch of a session with small_batches; a longer row is a batch by itself.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller already. A task holds several batches
+    in Python and the buffers of one in the executor; 10,000 texts, Spark's bound, are tens of MB each time. The same rows
+    go through."""
+    now = spark.conf.get(_BATCH_CONF, None)
+    if now is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux") and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:

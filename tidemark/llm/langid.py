@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .texthash import blocks
+from .texthash import SMALL, blocks
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -143,7 +143,7 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Predicted language and calibrated probability of each whole text; und and 0 where no letter is."""
     z = np.zeros((len(texts), len(model.langs)))
     lettered = np.array([has_letter(t) for t in texts], dtype=bool)
-    for first, run in blocks([letters(t) for t in texts]):
+    for first, run in blocks([letters(t) for t in texts], SMALL):
         idx, ok, ends = _grams(run)
         hits = np.concatenate([[0], np.cumsum(ok)])[np.minimum(ends, len(ok))]
         for j in range(len(model.langs)):

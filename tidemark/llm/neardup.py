@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .texthash import blocks, mix, shingles_of_block
+from .texthash import SMALL, blocks, mix, shingles_of_block
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -143,7 +143,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for b in common.in_slices(batches):
             raw = [t.encode() for t in common.texts_of(b.column("text"))]
             n, a, c, keys = [], [], [], []
-            for _, run in blocks(raw):
+            for _, run in blocks(raw, SMALL):
                 for s in shingles_of_block(run):
                     n.append(len(s))
                     a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
@@ -160,7 +160,7 @@ def _members(texts: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_slices(batches):
             sigs, sets, n = [], [], []
-            for _, run in blocks([t.encode() for t in common.texts_of(b.column("text"))]):
+            for _, run in blocks([t.encode() for t in common.texts_of(b.column("text"))], SMALL):
                 for s in shingles_of_block(run):
                     sigs.append(signature(s).tobytes())
                     sets.append(s.tobytes())

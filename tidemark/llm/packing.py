@@ -24,6 +24,8 @@ from . import common
 CAP = 2048
 #: Words whose ids a worker keeps; beyond that, words are encoded but not kept. Results don't depend on it.
 KEPT_WORDS = 300_000
+#: Words given to the library in one call; its encodings take about 1 kB a word until the call's ids are taken from them.
+AT_ONCE = 5_000
 _END = b"\xff"
 _CACHE: dict = {}
 _RANK_BITS = 44
@@ -87,8 +89,8 @@ class WordEncoder:
         split = [None if _odd_space(t) else t.split() for t in texts]
         new = list({w for words in split if words for w in words if w not in kept})
         fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 50_000):
-            fresh |= self.learn(new[i : i + 50_000])
+        for i in range(0, len(new), AT_ONCE):
+            fresh |= self.learn(new[i : i + AT_ONCE])
         if len(kept) + len(fresh) <= KEPT_WORDS:
             kept.update(fresh)
             fresh = {}

@@ -16,6 +16,8 @@ _GAP[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
+#: Bytes of a block whose arrays (some 40 bytes for each of its bytes in language scores) should stay small beside an executor's heap.
+SMALL = 1 << 17
 _POWERS: dict[str, np.ndarray] = {}
 SHINGLE = 5
 _TURNS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -30,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, _BLOCK + 1)
+        size = max(n, min(_BLOCK + 1, 1 << int(n).bit_length()))
         for name, base in (("up", _BASE), ("down", _UNBASE)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
